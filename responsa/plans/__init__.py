@@ -1 +1,6 @@
-"""plans."""
+"""Queries by name over the driver's tables, with the SQL that says the same."""
+
+from responsa.plans import scalar
+from responsa.plans.registry import ORACLES, QUERIES, ROWS
+
+__all__ = ["ORACLES", "QUERIES", "ROWS", "scalar"]
