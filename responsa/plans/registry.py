@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 ROWS: dict[str, str] = {}
 
 
-def query(rows: str, sql: str | None = None, doubles: str = "", digits: int = 6, log: bool = True):
+def query(rows: str, sql: str | None = None, doubles: str = "", digits: int = 9, log: bool = True):
     """Registers the function under its name. sql: what the oracle selects, over the response log's tables if log. doubles: columns that both sides round, as sums come in any order."""
     names = doubles.split()
 
