@@ -250,7 +250,7 @@ def soft_routing(spark, d):
     return df.select("row_id", calibrate.soft_route_categorical(df, "bucket", ["p", "b", "c"]).alias("categorical"), calibrate.soft_route_kernel(F.col("p"), [0.2, 0.5, 0.9], ["p", "b", "c"], 0.5).alias("kernel"))
 
 
-@query("C16 U16", f", {SCORED} SELECT row_id, {BCE('y', 'p')} AS bce, (y - p) ** 2 AS brier, {BCE('y * 0.9 + 0.05', 'p')} AS smoothed, (CASE WHEN y = 1 THEN (1 - p) ** 2 ELSE p ** 2 END) * ({BCE('y', 'p')}) AS focal, 1 / (1 + exp(-(0.8 * ln({CL6}) - 1.2 * ln(1 - {CL6}) + 0.1))) AS calibrated FROM p", "bce brier smoothed focal calibrated", 5)
+@query("C16 U16", f", {SCORED} SELECT row_id, {BCE('y', 'p')} AS bce, (y - p) ** 2 AS brier, {BCE('(y * 0.9 + 0.05)', 'p')} AS smoothed, (CASE WHEN y = 1 THEN (1 - p) ** 2 ELSE p ** 2 END) * ({BCE('y', 'p')}) AS focal, 1 / (1 + exp(-(0.8 * ln({CL6}) - 1.2 * ln(1 - {CL6}) + 0.1))) AS calibrated FROM p", "bce brier smoothed focal calibrated", 5)
 def objective_losses(spark, d):
     y, p = F.col("y"), F.col("p")
     b = metrics.bce(y, p)
