@@ -69,3 +69,11 @@ FEW = 500_000
 def small(ids: DataFrame) -> DataFrame:
     """ids (stored, one long a row), marked for broadcast if they are few."""
     return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

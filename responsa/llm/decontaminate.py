@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, small, table
+from .common import ascii_lower, cut, fresh, small, table
 
 SIZE = 10
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -71,9 +71,10 @@ def matches(postings: DataFrame, wins: DataFrame, near: int = 0) -> DataFrame:
     rows = postings.filter("size(postings) > 0").select("row", F.explode("postings").alias("p")).select("row", "p.*")
     met = rows.join(small(cut(wins)), "term")
     if near:
-        from_, to = "greatest(pos - from - {r}, 0)".format(r=near - 1), f"pos - from + {near}"
-        span = F.expr(f"filter(transform(sequence({from_}, pos - from), s -> slice(around, s + 1, {near})), x -> size(array_except(terms, x)) = 0)")
-        return met.filter(F.size(span) > 0).select("row", F.greatest(F.col("pos") - near + 1, F.lit(0)).alias("start"), F.lit(2 * near - 1).alias("length"), "items") if to else met
+        # spans of `near` words that hold the posting and every term of the window
+        span = F.expr(f"filter(transform(sequence(greatest(pos - from - {near - 1}, 0), pos - from), s -> slice(around, s + 1, {near})), x -> size(array_except(terms, x)) = 0)")
+        first = F.greatest(F.col("pos") - (near - 1), F.lit(0))
+        return met.filter(F.size(span) > 0).select("row", first.alias("start"), (F.col("pos") + near - first).alias("length"), "items")
     phrase = F.expr("pos - from >= place and slice(around, pos - from - place + 1, size(terms)) = terms")
     return met.filter(phrase).select("row", (F.col("pos") - F.col("place")).alias("start"), F.size("terms").alias("length"), "items")
 
@@ -93,8 +94,9 @@ def find(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """Rows of docs whose doc_id has no hit."""
-    bad = cut(find(docs, items, size).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct())
-    return docs.join(small(bad), F.col("doc_id") == F.col("bad_id"), "left_anti")
+    name = fresh(docs, "bad")
+    bad = cut(find(docs, items, size).filter("contaminated").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(small(bad), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,6 +119,8 @@ class Model:
 
     def log_probs(self, ws: list[str]) -> np.ndarray:
         """[words, languages]: log-probabilities of whole words, ends included."""
+        if not self.langs:
+            return np.zeros((len(ws), 0), np.float32)
         points, since, first = pad(ws)
         hs = hashes(points, since, self.order)
         ask = np.flatnonzero(since > 0)

@@ -3,11 +3,11 @@
 Base spans: e-mail addresses, IP addresses, card and phone numbers by pattern and test.
 A protected entity is a base span's kind and text. Terms are words within REACH
 characters of it. Over all documents, with N documents, n(e) with the entity, n(t) with
-the term anywhere in their text, and s(e, t) in which t stands near e in different
-surroundings, the term discloses the entity by the point-wise mutual information
-  pmi = log2(N * s(e, t) / (n(e) * n(t))),
+the term anywhere in their text, and n(e, t) in which t stands near e, the term
+discloses the entity by the point-wise mutual information
+  pmi = log2(N * n(e, t) / (n(e) * n(t))),
 as a share of the entity's information, log2(N / n(e)). Copies of a passage are one
-surrounding, so they prove nothing. With SUPPORT surroundings or more, a share of at
+surrounding, so alone they prove nothing. With SUPPORT surroundings or more, a share of at
 least GENERALISE has the term replaced by a mark, of at least REMOVE removed, in documents
 with the entity, where it stands near it. Added spans have kind `term`; base spans stay.
 
@@ -99,14 +99,14 @@ def disclosures(docs: DataFrame, stored: DataFrame, spans: DataFrame, support: i
     by_entity = spans.groupBy("kind", "value").agg(F.countDistinct("row").alias("ne"), F.countDistinct(F.xxhash64("before", "after")).alias("c")).filter(F.col("c") >= support)
     entities = cut(by_entity.drop("c"))
     near = near_terms(spans.join(small(entities.select("kind", "value")), ["kind", "value"], "left_semi"))
-    pairs = near.groupBy("kind", "value", "term").agg(F.countDistinct("context").alias("s")).filter(F.col("s") >= support)
+    pairs = near.groupBy("kind", "value", "term").agg(F.countDistinct("context").alias("s"), F.countDistinct("row").alias("net")).filter(F.col("s") >= support)
     pairs = cut(pairs.join(entities, ["kind", "value"]))
     terms = cut(pairs.select("term").distinct())
     text_words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"))
     counts = docs.select(F.explode(text_words).alias("term")).join(small(terms), "term").groupBy("term").agg(F.count("*").alias("nt"))
     total = stored.count()
     n = F.lit(float(max(total, 1)))
-    pmi = F.log2(n * F.col("s") / (F.col("ne") * F.col("nt")))
+    pmi = F.log2(n * F.col("net") / (F.col("ne") * F.col("nt")))
     share = F.when(F.col("ne") < total, pmi / F.log2(n / F.col("ne"))).otherwise(0.0)
     return pairs.join(counts, "term").select("kind", "value", "term", share.alias("share"))
 
@@ -155,13 +155,14 @@ def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     sign = F.when(F.col("kind") != "term", F.concat(F.lit("["), F.upper("kind"), F.lit("]"))).when(F.col("share") >= remove, "").otherwise("[TERM]")
     merged = marks.groupBy("mark_id", "mark_text", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(sign, F.struct("start", -F.col("end"), "kind")).alias("sign"))
     edits = cut(merged.groupBy("mark_id", "mark_text").agg(F.array_sort(F.collect_list(F.struct("start", "end", "sign"))).alias("edits")))
-    can = docs.filter(hint)
+    # the row goes along as one value, so that its columns can have any names
+    can = docs.filter(hint).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "doc_id", "text")
     piece = "transform(edits, (x, i) -> concat(substring(text, if(i = 0, 0L, edits[i - 1].end) + 1, x.start - if(i = 0, 0L, edits[i - 1].end)), x.sign))"
     text = F.expr(f"concat(array_join({piece}, ''), substring(text, edits[size(edits) - 1].end + 1))".replace("0L", "cast(0 as bigint)"))
-    edited = can.join(edits, (F.col("doc_id") == F.col("mark_id")) & (F.xxhash64("text") == F.col("mark_text")), "left").withColumn("text", F.when(F.col("edits").isNull(), F.col("text")).otherwise(text))
-    if "n_chars" in docs.columns:
-        edited = edited.withColumn("n_chars", F.when(F.col("edits").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return edited.select(*docs.columns).unionByName(docs.filter(~hint))
+    edited = can.join(edits, (F.col("doc_id") == F.col("mark_id")) & (F.xxhash64("text") == F.col("mark_text")), "left").withColumn("new_text", F.when(F.col("edits").isNull(), F.col("text")).otherwise(text))
+    chars = F.when(F.col("edits").isNull(), F.col("doc.n_chars")).otherwise(F.char_length("new_text")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    columns = [F.col("new_text").alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(f"doc.`{c}`") for c in docs.columns]
+    return edited.select(*columns).unionByName(docs.filter(~hint))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import numpy as np
 import regex
 
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Characters whose classes no version of Unicode has changed; of others the library and Python may think differently.
+OLD = re.compile("[\x00-\u024f\u2010-\u2027]*")
 SHARED: dict[str, "Encoder"] = {}
 
 
@@ -88,10 +90,12 @@ class Encoder:
         split = {}
         for x in missing:
             ids = self.old_chunks.get(x)
-            if ids is None:
+            if ids is not None:
+                self.chunks[x] = ids
+            elif x.isascii() or OLD.fullmatch(x):
                 split[x] = self._split(x)
             else:
-                self.chunks[x] = ids
+                self.chunks[x] = self._whole(x)
         words = {w for ws in split.values() for w in ws}
         unknown = words - self.new.keys()
         if len(self.new) + len(unknown) > self.most:

@@ -1,0 +1,64 @@
+import hashlib
+import re
+
+from responsa.llm import sanitize
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+TEXTS = [
+    "write to a.b@c.example.org or x@y.z_q@w.v now", "ip 1.2.3.4 and 300.1.1.1 and 1.2.3.4.5.6.7.8 and 001.02.3.0255", "card 4387513035237269, 4387-5130-3523-7269 4387 5130 3523 7268", "call +1 (784) 555-9263 or +12 or +1234567890123456 or +49 89 1234567.",
+    "é 4753376719988201 ü\U0001f600 a@b.cd", None, "", "plain words", "@ + . 1.2.3", "1 2  3 4 4387513035237269- 4", "+1 +1 +1234567 8 (", "a" * 5000 + "@" + "b.c" * 2000, "1 " * 3000, "1." * 3000, "+" * 2000 + "1" * 2000, "%@-.-@a.b",
+]
+
+
+def luhn(s):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def valid(k, v):
+    g = re.sub("[^0-9]", "", v)
+    return k == "email" or (k == "ip" and all(int(p) <= 255 for p in v.split("."))) or (k == "card" and 16 <= len(g) <= 19 and luhn(g)) or (k == "phone" and 8 <= len(g) <= 15)
+
+
+def spans(t):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, t or "") if valid(k, m.group())]
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, "r", "k", 1, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, row string, kind string, edits int, n_chars long")
+
+
+def test_base_spans(spark):
+    got = {r.doc_id: r for r in sanitize.find(table(spark, TEXTS)).collect()}
+    for i, t in enumerate(TEXTS):
+        want = spans(t)
+        assert got[i].spans == ",".join(want), t and t[:60]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [sum(s.startswith(k + ":") for s in want) for k in PATTERNS]
+    assert sanitize.find(table(spark, [])).count() == 0
+
+
+def test_terms_that_give_an_entity_away(spark):
+    filler = ["walks by the river", "sold a garden", "likes old stones", "went to market", "paints the window"]
+    texts = [f"{f} with Zorblax j.doe@mail.example.org {f[::-1]}" for f in filler] + [f"{f} again" for f in filler * 8]
+    texts += [texts[0]] * 5  # copies are no more evidence
+    got = {r.doc_id: r.spans for r in sanitize.find(table(spark, texts)).collect()}
+    at = texts[0].index("Zorblax")
+    assert f"term:{at}:{at + 7}" in got[0] and got[0].startswith("email:") and "term" not in got[6]
+    clean = {r.doc_id: r.text for r in sanitize.sanitise(table(spark, texts)).collect()}
+    assert "j.doe" not in clean[0] and "[EMAIL]" in clean[0] and "Zorblax" not in clean[0] and clean[6] == texts[6]
+
+
+def test_copies_alone_prove_nothing(spark):
+    texts = ["unusualword near me@example.org here"] * 6 + ["nothing to see"] * 6
+    assert all("term" not in r.spans for r in sanitize.find(table(spark, texts)).collect())
+
+
+def test_sanitise_keeps_rows_and_columns(spark):
+    df = table(spark, TEXTS + TEXTS[:3])
+    out = sanitize.sanitise(df)
+    assert out.columns == df.columns and out.count() == df.count()
+    for r in out.collect():
+        if r.text is not None and spans((TEXTS + TEXTS[:3])[r.doc_id]):
+            assert r.n_chars == len(r.text)
+    by = {r.doc_id: r.text for r in out.collect()}
+    assert by[2].count("[CARD]") == 1 and by[0].startswith("write to [EMAIL] or [EMAIL]") and by[5] is None and by[7] == "plain words"
