@@ -41,7 +41,8 @@ def predict(df: DataFrame, key: str, f: Callable[..., object], labelled: list[di
                     out.append(math.nan)
             yield pd.DataFrame({key: b[key], "p": out})
 
-    return inputs(df, key).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, p double")
+    # Arrow turns NaN into null on the way
+    return inputs(df, key).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, p double").withColumn("p", F.coalesce("p", F.lit(math.nan)))
 
 
 def acquire(df: DataFrame, key: str, f: Callable[..., object], seed: int = 0) -> DataFrame:
