@@ -27,6 +27,7 @@ document if their sets agree; each row is returned. Ties: the smallest id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, mix, small, table
+from .common import Memo, cut, fresh, mix, small, table
 from .components import components
 
 SKETCH, PATH, TREES, FIRST, SMALL, DEPTHS, LEADERS = 192, 64, 14, 2, 48, (1, 2, 3, 4, 6, 9, 13, 19, 28), 2
@@ -185,31 +186,35 @@ def likely(pairs: DataFrame, least: float) -> DataFrame:
 
 def candidates(reps: DataFrame, trees: range, limit: float, forest: bool) -> DataFrame:
     """a, b: pairs of reps (id, component, tokens, short) to confirm, from these trees. reps must be stored."""
-    least, found = limit - FAR, None
+    least, found = limit - FAR, []
     shorts = reps.select("id", "component", "short")
     one = shorts.select(F.col("id").alias("a"), F.col("component").alias("c1"), F.col("short").alias("s1"))
     two = shorts.select(F.col("id").alias("b"), F.col("component").alias("c2"), F.col("short").alias("s2"))
-    add = lambda x: x if found is None else found.unionByName(x)
+    pairs = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rows = paths(reps, trees, DEPTHS[0])
     for k, depth in enumerate(DEPTHS):
         nodes = rows.groupBy("tree", "node").agg(F.count("*").alias("m")).filter("m > 1")
         rows = cut(rows.join(nodes, ["tree", "node"]))
         some = rows.filter(F.col("m") <= SMALL).select(F.xxhash64("tree", "node").alias("node"), "id")
-        found = add(compare(some.join(shorts, "id"), least, forest))
+        met = pairs(compare(some.join(shorts, "id"), least, forest))
         large = rows.filter(F.col("m") > SMALL)
-        if large.isEmpty():
+        done = large.isEmpty()
+        if not done:
+            # leaders: of each large node those with the least hashes
+            sizes = large.groupBy("tree", "node").agg(*(F.min_by("id", F.xxhash64("id", F.lit(n), "tree")).alias(f"l{n}") for n in range(LEADERS)))
+            led = large.join(sizes, ["tree", "node"]).select("id", F.explode(F.array(*(f"l{n}" for n in range(LEADERS)))).alias("b")).filter("id <> b")
+            led = led.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+            met = met.unionByName(likely(led.join(one, "a").join(two, "b").filter("c1 <> c2"), least))
+            if k == len(DEPTHS) - 1:  # dealt by hash into small nodes, in each tree otherwise
+                part = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("m") * 2 / SMALL))
+                met = met.unionByName(pairs(compare(large.select(F.xxhash64("tree", "node", part).alias("node"), "id").join(shorts, "id"), least, forest)))
+        # each depth is a job of its own: one plan of all depths takes more memory on the driver than the rest of the work
+        found.append(cut(met.distinct()))
+        if done:
             break
-        # leaders: of each large node those with the least hashes
-        sizes = large.groupBy("tree", "node").agg(*(F.min_by("id", F.xxhash64("id", F.lit(n), "tree")).alias(f"l{n}") for n in range(LEADERS)))
-        met = large.join(sizes, ["tree", "node"]).select("id", F.explode(F.array(*(f"l{n}" for n in range(LEADERS)))).alias("b")).filter("id <> b")
-        met = met.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        found = add(likely(met.join(one, "a").join(two, "b").filter("c1 <> c2"), least))
-        if k == len(DEPTHS) - 1:  # dealt by hash into small nodes, in each tree otherwise
-            part = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("m") * 2 / SMALL))
-            found = add(compare(large.select(F.xxhash64("tree", "node", part).alias("node"), "id").join(shorts, "id"), least, forest))
-        else:
+        if k < len(DEPTHS) - 1:
             rows = down(large, reps, trees, DEPTHS[k + 1])
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -255,8 +260,9 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80, trees: int = TREES)
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs, one of each class: of the smallest doc_id, once if its row repeats."""
     found = cut(classes(docs, k, percent))
-    gone = cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct())
-    out = docs.join(small(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct())
+    out = docs.join(small(gone), F.col("doc_id") == F.col(name), "left_anti")
     again = found.filter("kept").groupBy("doc_id").count().filter("count > 1")
     return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
 
