@@ -57,7 +57,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, exclude_self: bool = Tru
         return pd.DataFrame(out).astype({"query": "int64", "item": "int64", "sim": "float64"})
 
     found = left.groupBy("p", "r").cogroup(right.groupBy("p", "r")).applyInPandas(run, "query long, item long, sim double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "item"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "item")).cast("long")
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "item", "sim")
 
 
@@ -65,7 +65,7 @@ def centroid_distances(points: DataFrame, centroids: DataFrame, m: int) -> DataF
     """id, rank, cluster, d2: the m nearest of few centroids (cluster from 1, c), squared distances at 9 digits, none below 0."""
     d2 = F.greatest(F.round(F.aggregate(F.zip_with("v", "c", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x), 9), F.lit(0.0))
     every = points.crossJoin(F.broadcast(centroids)).select("id", "cluster", d2.alias("d2"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "cluster"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "cluster")).cast("long")
     return every.withColumn("rank", rank).filter(F.col("rank") <= m).select("id", "rank", "cluster", "d2")
 
 
@@ -155,7 +155,7 @@ def nearest_on_axis(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
     keys = [c for c in ("g",) if c in queries.columns and c in points.columns]
     near = queries.join(points, keys) if keys else queries.crossJoin(F.broadcast(points))
     gap = F.round(F.abs(F.col("d") - F.col("x")), 9)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(gap, F.desc("d"), "item"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(gap, F.desc("d"), "item")).cast("long")
     return near.select("query", "item", "d", gap.alias("gap"), rank.alias("rank")).filter(F.col("rank") <= k).select("query", "rank", "item", "gap")
 
 

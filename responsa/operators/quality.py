@@ -23,7 +23,7 @@ def embedding_checks(df: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col(vector)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     norm2 = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    return df.agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_keys"), F.min(F.size(v)).alias("d_min"), F.max(F.size(v)).alias("d_max"), F.count_if(bad).alias("n_bad"), F.count_if(norm2 <= 1e-12).alias("n_zero"))
+    return df.agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_keys"), F.min(F.size(v)).cast("long").alias("d_min"), F.max(F.size(v)).cast("long").alias("d_max"), F.count_if(bad).alias("n_bad"), F.count_if(norm2 <= 1e-12).alias("n_zero"))
 
 
 def duplicates(df: DataFrame, *keys: str) -> DataFrame:

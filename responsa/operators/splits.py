@@ -110,7 +110,7 @@ def stratified(df: DataFrame, key: str, category: str, n: int, seed: int = 0) ->
 
 def top_k(df: DataFrame, category: str, score: Column, tie: Column, k: int) -> DataFrame:
     """The k rows of each category with the highest scores; ties to the least `tie`."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(category).orderBy(score.desc(), tie.asc()))).filter(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(category).orderBy(score.desc(), tie.asc())).cast("long")).filter(F.col("rank") <= k)
 
 
 def quantile_buckets(train: DataFrame, rows: DataFrame, column: str, n: int = 4) -> DataFrame:

@@ -216,7 +216,7 @@ def encoded_rows(spark, d):
 def item_index(spark, d):
     one = clustered(spark, d).groupBy("item_id").agg(F.min("benchmark").alias("benchmark"), F.coalesce(F.min("cluster"), F.lit(0)).alias("cluster_id"))
     # the index is the registry of items, not of rows
-    return one.withColumn("idx", F.row_number().over(Window.orderBy("item_id")))
+    return one.withColumn("idx", F.row_number().over(Window.orderBy("item_id")).cast("long"))
 
 
 @query("S22", "SELECT 'benchmark' AS kind, benchmark AS value, count(*) AS n FROM resp GROUP BY 2 UNION ALL SELECT 'condition', condition, count(*) FROM resp GROUP BY 2 UNION ALL SELECT 'subject', display_name, count(*) FROM resp GROUP BY 2")
