@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import Memo, cut, fresh, mix, small, table
 from .components import components
 
-SKETCH, PATH, TREES, FIRST, SMALL, DEPTHS, LEADERS = 192, 64, 14, 2, 48, (1, 2, 3, 4, 6, 9, 13, 19, 28), 2
+SKETCH, PATH, TREES, FIRST, SMALL, DEPTHS, LEADERS = 192, 64, 14, 2, 48, (1, 2, 3, 5, 8, 14, 24), 2
 #: Sketches of 192 coordinates stray from the similarity by 0.029 (one sigma, at 0.8). Below the limit by more than five: no link.
 FAR = 0.15
 CONSTANTS = mix(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, SKETCH)
@@ -97,9 +97,9 @@ def node(tree: int, depth: int) -> Column:
 
 
 def paths(reps: DataFrame, trees: range, depth: int) -> DataFrame:
-    """tree, node, id: one row of each representative for each tree."""
+    """tree, node, id, component: one row of each representative for each tree."""
     nodes = F.array(*(F.struct(F.lit(t).alias("tree"), node(t, depth).alias("node")) for t in trees))
-    return reps.select("id", F.explode(nodes).alias("x")).select("x.tree", "x.node", "id")
+    return reps.select("id", "component", F.explode(nodes).alias("x")).select("x.tree", "x.node", "id", "component")
 
 
 def down(rows: DataFrame, reps: DataFrame, trees: range, depth: int) -> DataFrame:
@@ -107,7 +107,7 @@ def down(rows: DataFrame, reps: DataFrame, trees: range, depth: int) -> DataFram
     at = F.lit(None).cast("long")
     for t in trees:
         at = F.when(F.col("tree") == t, node(t, depth)).otherwise(at)
-    return rows.select("tree", "id").join(reps.select("id", "tokens"), "id").select("tree", at.alias("node"), "id")
+    return rows.select("tree", "id", "component").join(reps.select("id", "tokens"), "id").select("tree", at.alias("node"), "id", "component")
 
 
 def compare(rows: DataFrame, least: float, forest: bool) -> DataFrame:
@@ -187,15 +187,16 @@ def likely(pairs: DataFrame, least: float) -> DataFrame:
 def candidates(reps: DataFrame, trees: range, limit: float, forest: bool) -> DataFrame:
     """a, b: pairs of reps (id, component, tokens, short) to confirm, from these trees. reps must be stored."""
     least, found = limit - FAR, []
-    shorts = reps.select("id", "component", "short")
-    one = shorts.select(F.col("id").alias("a"), F.col("component").alias("c1"), F.col("short").alias("s1"))
-    two = shorts.select(F.col("id").alias("b"), F.col("component").alias("c2"), F.col("short").alias("s2"))
+    shorts = reps.select("id", "short")
+    one = reps.select(F.col("id").alias("a"), F.col("component").alias("c1"), F.col("short").alias("s1"))
+    two = reps.select(F.col("id").alias("b"), F.col("component").alias("c2"), F.col("short").alias("s2"))
     pairs = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rows = paths(reps, trees, DEPTHS[0])
     for k, depth in enumerate(DEPTHS):
-        nodes = rows.groupBy("tree", "node").agg(F.count("*").alias("m")).filter("m > 1")
+        # nodes of one component have nothing left to find
+        nodes = rows.groupBy("tree", "node").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").drop("c1", "c2")
         rows = cut(rows.join(nodes, ["tree", "node"]))
-        some = rows.filter(F.col("m") <= SMALL).select(F.xxhash64("tree", "node").alias("node"), "id")
+        some = rows.filter(F.col("m") <= SMALL).select(F.xxhash64("tree", "node").alias("node"), "id", "component")
         met = pairs(compare(some.join(shorts, "id"), least, forest))
         large = rows.filter(F.col("m") > SMALL)
         done = large.isEmpty()
@@ -207,7 +208,7 @@ def candidates(reps: DataFrame, trees: range, limit: float, forest: bool) -> Dat
             met = met.unionByName(likely(led.join(one, "a").join(two, "b").filter("c1 <> c2"), least))
             if k == len(DEPTHS) - 1:  # dealt by hash into small nodes, in each tree otherwise
                 part = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("m") * 2 / SMALL))
-                met = met.unionByName(pairs(compare(large.select(F.xxhash64("tree", "node", part).alias("node"), "id").join(shorts, "id"), least, forest)))
+                met = met.unionByName(pairs(compare(large.select(F.xxhash64("tree", "node", part).alias("node"), "id", "component").join(shorts, "id"), least, forest)))
         # each depth is a job of its own: one plan of all depths takes more memory on the driver than the rest of the work
         found.append(cut(met.distinct()))
         if done:
