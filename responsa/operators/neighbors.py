@@ -88,7 +88,8 @@ def nn_features(looked: DataFrame, fallback: float = 0.0) -> DataFrame:
         F.sum("m").alias("n"), F.count("*").alias("k"), F.sum("r").alias("sr"), F.sum(w * F.col("r")).alias("swr"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(F.col("m") * F.col("r") * F.col("r")).alias("srr"),
         first(F.col("r")).alias("r1"), first(F.col("m")).alias("m1"), first(F.col("sim")).alias("s1"), F.avg("sim").alias("ms"), F.percentile("sim", F.lit(0.5)).alias("med"), F.min("sim").alias("mn"))
     mean = F.when(n > 0, F.col("sr") / n).otherwise(fb)
-    std = F.when(n > 0, F.sqrt(F.greatest(F.col("srr") / n - F.pow(F.col("sr") / n, F.lit(2)), F.lit(0.0)))).otherwise(fb)
+    variance = F.col("srr") / n - F.pow(F.col("sr") / n, F.lit(2))  # below 1e-12: what rounding leaves of 0
+    std = F.when(n > 0, F.when(variance > 1e-12, F.sqrt(variance)).otherwise(0.0)).otherwise(fb)
     q = F.least(F.greatest(mean, F.lit(1e-7)), F.lit(1 - 1e-7))
     span = F.col("s1") - F.col("mn")
     return a.select(

@@ -110,14 +110,14 @@ CELL_NAMES = "passrate_mean passrate_weighted_mean passrate_std coverage top1_la
 
 
 @query("N01 N03", LOOK + """, w AS (SELECT *, greatest(sim * m, 0) AS w FROM looked), a AS (SELECT row_id, sum(m) AS n, count(*) AS k, sum(r) AS sr, sum(w * r) AS swr, sum(w) AS sw, sum(w * w) AS sww, sum(m * r * r) AS srr, max(r) FILTER (rank = 1) AS r1, max(m) FILTER (rank = 1) AS m1, max(sim) FILTER (rank = 1) AS s1, avg(sim) AS ms, quantile_cont(sim, 0.5) AS med, min(sim) AS mn FROM w GROUP BY 1),
-  b AS (SELECT *, CASE WHEN n > 0 THEN sr / n ELSE 0 END AS mean, CASE WHEN n > 0 THEN sqrt(greatest(srr / n - (sr / n) ** 2, 0)) ELSE 0 END AS sd FROM a), c AS (SELECT *, least(greatest(mean, 1e-7), 1 - 1e-7) AS e FROM b)
+  b AS (SELECT *, CASE WHEN n > 0 THEN sr / n ELSE 0 END AS mean, CASE WHEN n > 0 THEN CASE WHEN srr / n - (sr / n) ** 2 > 1e-12 THEN sqrt(srr / n - (sr / n) ** 2) ELSE 0 END ELSE 0 END AS sd FROM a), c AS (SELECT *, least(greatest(mean, 1e-7), 1 - 1e-7) AS e FROM b)
   SELECT row_id, mean AS passrate_mean, CASE WHEN sw > 1e-9 THEN swr / sw ELSE mean END AS passrate_weighted_mean, sd AS passrate_std, n / k AS coverage, CASE WHEN m1 = 1 THEN r1 ELSE -1 END AS top1_label, s1 AS top1_similarity, ms AS mean_similarity, ln(1 + n) AS n_labeled_neighbors_log1p, CASE WHEN sww > 1e-9 THEN sw * sw / sww ELSE 0 END AS effective_neighbor_count, s1 - ms AS top1_minus_topk_similarity,
-    CASE WHEN n > 0 THEN sd / sqrt(n) ELSE 0 END AS bootstrap_se_passrate, CASE WHEN n > 0 THEN -(e * ln(e) + (1 - e) * ln(1 - e)) ELSE 0 END AS neighbor_label_entropy, CASE WHEN m1 = 1 THEN (r1 > 0.5)::int ELSE 0 END AS top1_label_match, CASE WHEN s1 - mn > 1e-9 THEN (s1 - med) / (s1 - mn) ELSE 0 END AS sim_distribution_skew, mn AS distance_to_kth_neighbor FROM c""", CELL_NAMES, 7)
+    CASE WHEN n > 0 THEN sd / sqrt(n) ELSE 0 END AS bootstrap_se_passrate, CASE WHEN n > 0 THEN -(e * ln(e) + (1 - e) * ln(1 - e)) ELSE 0 END AS neighbor_label_entropy, CASE WHEN m1 = 1 THEN (r1 > 0.5)::int ELSE 0 END AS top1_label_match, CASE WHEN s1 - mn > 1e-9 THEN (s1 - med) / (s1 - mn) ELSE 0 END AS sim_distribution_skew, mn AS distance_to_kth_neighbor FROM c""", CELL_NAMES, 8)
 def nn_features(spark, d):
     return neighbors.nn_features(looked(spark, d))
 
 
-@query("N02 J18", LOOK + ", t AS (SELECT macro_family AS trait, item_no, avg(passrate) AS r FROM cells GROUP BY 1, 2) SELECT row_id, coalesce(avg(r), 0) AS macro_conditional FROM q JOIN near ON item_no = query LEFT JOIN t ON t.trait = macro_family AND t.item_no = item GROUP BY 1", "macro_conditional", 7)
+@query("N02 J18", LOOK + ", t AS (SELECT macro_family AS trait, item_no, avg(passrate) AS r FROM cells GROUP BY 1, 2) SELECT row_id, coalesce(avg(r), 0) AS macro_conditional FROM q JOIN near ON item_no = query LEFT JOIN t ON t.trait = macro_family AND t.item_no = item GROUP BY 1", "macro_conditional", 9)
 def trait_conditional(spark, d):
     c, q = cells(spark, d)
     rates = c.groupBy(F.col("macro_family").alias("trait"), "item_no").agg(F.avg("passrate").alias("passrate"))
@@ -276,7 +276,7 @@ def normalised_answers(spark, d):
     return a.select("conv_id", "turn", parsed.alias("answer"), text.answer_type(parsed).alias("kind"), text.step_count(F.col("text")).cast("long").alias("steps"))
 
 
-@query("S11 S12", "SELECT conv_id, to_json(list(left(text, 20) ORDER BY turn)) AS samples, count(*) AS n FROM conversations WHERE role = 'assistant' AND regexp_full_match(left(text, 20), '[A-Za-z0-9 .,]*') GROUP BY 1", log=False)
+@query("S11 S12", "SELECT conv_id, to_json(list(left(text, 20) ORDER BY turn))::varchar AS samples, count(*) AS n FROM conversations WHERE role = 'assistant' AND regexp_full_match(left(text, 20), '[A-Za-z0-9 .,]*') GROUP BY 1", log=False)
 def sample_cache(spark, d):
     a = adapter.table(spark, d, "conversations").filter("role = 'assistant'").filter(F.left("text", F.lit(20)).rlike(r"\A[A-Za-z0-9 .,]*\z"))
     s = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.left("text", F.lit(20)).alias("t")))), lambda x: x["t"])

@@ -114,7 +114,7 @@ def redaction_counts(spark, d):
     return splits.redaction(clustered(spark, d), 0.3).groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("redacted").alias("n_redacted"))
 
 
-@query("R21 U17", "SELECT a, b, c, d FROM (SELECT unnest([1, 2, 3, 4]) AS a), (SELECT unnest(['x', 'y']) AS b), (SELECT unnest([0.1, 0.2, 0.5]) AS c), (SELECT unnest([true, false]) AS d)", log=False)
+@query("R21 U17", "SELECT a, b, c, d FROM (SELECT unnest([1, 2, 3, 4]) AS a), (SELECT unnest(['x', 'y']) AS b), (SELECT unnest([0.1, 0.2, 0.5]::double[]) AS c), (SELECT unnest([true, false]) AS d)", log=False)
 def parameter_grid(spark, d):
     one = spark.range(1).select(F.explode(F.array(*map(F.lit, [1, 2, 3, 4]))).alias("a"))
     for name, values in (("b", ["x", "y"]), ("c", [0.1, 0.2, 0.5]), ("d", [True, False])):
