@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -77,3 +78,9 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def release(df: DataFrame) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, fresh, mix, small, table
+from .common import Memo, cut, fresh, mix, release, small, table
 from .components import components
 
 SKETCH, PATH, TREES, FIRST, SMALL, DEPTHS, LEADERS = 192, 64, 14, 2, 48, (1, 2, 3, 5, 8, 14, 24), 2
@@ -211,6 +211,7 @@ def candidates(reps: DataFrame, trees: range, limit: float, forest: bool) -> Dat
                 met = met.unionByName(pairs(compare(large.select(F.xxhash64("tree", "node", part).alias("node"), "id", "component").join(shorts, "id"), least, forest)))
         # each depth is a job of its own: one plan of all depths takes more memory on the driver than the rest of the work
         found.append(cut(met.distinct()))
+        release(reps)
         if done:
             break
         if k < len(DEPTHS) - 1:
@@ -250,6 +251,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80, trees: int = TREES)
             continue
         new = cut(confirm(cut(candidates(known, lot, percent / 100, forest)), docs, k, percent))
         links = new if links is None else links.unionByName(new)
+        release(docs)
         found = cut(components(links))
         known = cut(reps.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
     # the table of sets is joined last; a set that very many rows share is split where it is skewed
