@@ -10,14 +10,19 @@
    Nodes of one document end. Nodes of at most SMALL documents are compared exhaustively.
    In larger ones, each document is compared with a few leaders of the node, and the node
    branches on, so that neither a group of copies nor a common passage makes a large task.
-   At the last depth a large node is dealt by hash into small ones.
 4. Comparisons go by sketch first; what could be similar enough is confirmed on full sets.
-   A first lot of trees joins what is plainly alike, by a spanning forest in each node.
+   A first lot of trees joins what is plainly alike, by a spanning forest in each node; at
+   the last depth it deals a large node by hash into small ones, as it only saves work.
    The second lot, with the rest of the TREES, compares only documents whose components
-   still differ, and confirms every pair that could be a link.
+   still differ, and confirms every pair that could be a link. Its trees end at EXACT
+   tokens: nodes that are large there are compared whole, in pairs of blocks of BLOCK
+   documents, each pair of blocks a group of its own. The work on such a node grows with
+   the square of its documents outside its commonest component, its tasks don't grow.
 
-With 14 trees, two documents at the limit of 0.8 that are alone in their nodes at one
-token are missed with probability 0.2 ** 14, and with 0.36 ** 14 (6e-7) at two.
+The 12 trees of the second lot compare every pair that shares their first EXACT tokens,
+however large its node. Trees choose from the same PATH coordinates, so they don't miss
+independently: of two documents at the limit of 0.8, a simulation of 4,000,000 pairs
+misses 2e-5 at two tokens, and none at one (nodes of at most SMALL documents there).
 
 Text without words, or null: an empty set, linked with nothing. Fewer words than k: all
 of them as one shingle. Empty table: no rows. Rows that repeat a doc_id are copies of one
@@ -39,6 +44,8 @@ from .common import Memo, cut, fresh, mix, release, small, table
 from .components import components
 
 SKETCH, PATH, TREES, FIRST, SMALL, DEPTHS, LEADERS = 192, 64, 14, 2, 48, (1, 2, 3, 5, 8, 14, 24), 2
+#: Tokens at which the second lot compares large nodes whole; documents of a block.
+EXACT, BLOCK = 2, 512
 #: Sketches of 192 coordinates stray from the similarity by 0.029 (one sigma, at 0.8). Below the limit by more than five: no link.
 FAR = 0.15
 CONSTANTS = mix(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, SKETCH)
@@ -184,8 +191,91 @@ def likely(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "s1", "s2").mapInArrow(run, "a long, b long")
 
 
-def candidates(reps: DataFrame, trees: range, limit: float, forest: bool) -> DataFrame:
-    """a, b: pairs of reps (id, component, tokens, short) to confirm, from these trees. reps must be stored."""
+def alike(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """[len(one), len(two)] of how many coordinates two sketches agree on."""
+    x, y = (np.ascontiguousarray(np.frombuffer(b"".join(z), np.uint8).reshape(-1, SKETCH).T) for z in (one, two))
+    out = np.zeros((x.shape[1], y.shape[1]), np.uint8)  # SKETCH < 256
+    for a, b in zip(x, y, strict=True):
+        out += a[:, None] == b[None]
+    return out
+
+
+def meet(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """[len(one), len(two)] sizes of the intersections of sets of hashes, by products of indicator matrices over slices of the common hashes."""
+    out = np.zeros((len(one), len(two)), np.float32)  # whole numbers, exact to 2 ** 24
+    (x, rx), (y, ry) = ((np.concatenate(z), np.repeat(np.arange(len(z)), list(map(len, z)))) for z in (one, two))
+    both = np.intersect1d(x, y)
+    for at in range(0, len(both), 4096):
+        part = both[at : at + 4096]
+        sides = []
+        for h, r, n in ((x, rx, len(one)), (y, ry, len(two))):
+            k = np.minimum(np.searchsorted(part, h), len(part) - 1)
+            ok = part[k] == h
+            m = np.zeros((n, len(part)), np.float32)
+            m[r[ok], k[ok]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def crowded(large: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: links inside large nodes, confirmed on full sets, as many as connect what any link there connects.
+
+    large (stored): tree, node, id, component, m. Every document meets every other of its
+    node but those of its own component: in each node the blocks of the commonest component
+    come first and don't meet each other.
+    """
+    least = percent / 100 - FAR
+    sums = large.groupBy("tree", "node", "component").agg(F.count("*").alias("c"))
+    most = sums.groupBy("tree", "node").agg(F.max(F.struct("c", "component")).alias("x")).select("tree", "node", F.col("x.c").alias("c"), F.col("x.component").alias("main"))
+    rows = large.join(most, ["tree", "node"])
+    first, other = F.ceil(F.col("c") / BLOCK), F.ceil((F.col("m") - F.col("c")) / BLOCK)
+    in_main = F.col("component") == F.col("main")
+    h = F.xxhash64("id", "tree")
+    at = F.when(in_main, F.pmod(h, first)).otherwise(first + F.pmod(h, F.greatest(other, F.lit(1))))
+    rows = rows.select("tree", "node", "id", "component", at.alias("x"), F.when(in_main, first).otherwise(F.lit(0)).alias("from"), (first + other - 1).alias("to"))
+    rows = rows.select("tree", "node", "id", "component", "x", F.explode(F.sequence("from", "to")).alias("y"))
+    rows = rows.select(F.xxhash64("tree", "node", F.least("x", "y"), F.greatest("x", "y")).alias("pair"), "x", "id", "component")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = texts.join(small(cut(large.select("id").distinct())), "id", "left_semi").dropDuplicates(["id"])
+    rows = rows.join(texts.join(reps.select("id", "short"), "id"), "id")
+
+    def run(t: pa.Table) -> pa.Table:
+        x, ids, comps = (t.column(c).to_numpy() for c in ("x", "id", "component"))
+        shorts, said = t.column("short").to_pylist(), t.column("text")
+        one = np.flatnonzero(x == x.min())
+        two = np.flatnonzero(x == x.max())
+        near = alike([shorts[i] for i in one], [shorts[i] for i in two]) >= least * SKETCH
+        near &= comps[one][:, None] != comps[two][None]
+        if x.min() == x.max():
+            near = np.triu(near, 1)
+        left, right = [], []
+        r, c = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if len(r):
+            sets = {i: shingles(said[i].as_py(), k) for i in {*one[r].tolist(), *two[c].tolist()}}
+            a, b = [sets[i] for i in one[r].tolist()], [sets[i] for i in two[c].tolist()]
+            inter, sizes = meet(a, b), [np.array(list(map(len, z))) for z in (a, b)]
+            links = near[np.ix_(r, c)] & (inter > 0) & (100 * inter >= percent * (sizes[0][:, None] + sizes[1][None] - inter))
+            root: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while root.setdefault(v, v) != v:
+                    root[v] = v = root[root[v]]
+                return v
+
+            for i, j in zip(*(z.tolist() for z in np.nonzero(links)), strict=True):
+                u, v = int(ids[one[r[i]]]), int(ids[two[c[j]]])
+                p, q = find(u), find(v)
+                if p != q:
+                    root[q] = p
+                    left.append(min(u, v)), right.append(max(u, v))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return rows.groupBy("pair").applyInArrow(run, "a long, b long")
+
+
+def candidates(reps: DataFrame, trees: range, limit: float, forest: bool) -> tuple[DataFrame, DataFrame | None]:
+    """a, b: pairs of reps (id, component, tokens, short) to confirm, from these trees; and, but for a forest, the rows of nodes that are still large at EXACT tokens. reps must be stored."""
     least, found = limit - FAR, []
     shorts = reps.select("id", "short")
     one = reps.select(F.col("id").alias("a"), F.col("component").alias("c1"), F.col("short").alias("s1"))
@@ -200,6 +290,9 @@ def candidates(reps: DataFrame, trees: range, limit: float, forest: bool) -> Dat
         met = pairs(compare(some.join(shorts, "id"), least, forest))
         large = rows.filter(F.col("m") > SMALL)
         done = large.isEmpty()
+        if not done and not forest and depth >= EXACT:
+            found.append(cut(met.distinct()))
+            return reduce(DataFrame.unionByName, found).distinct(), cut(large)
         if not done:
             # leaders: of each large node those with the least hashes
             sizes = large.groupBy("tree", "node").agg(*(F.min_by("id", F.xxhash64("id", F.lit(n), "tree")).alias(f"l{n}") for n in range(LEADERS)))
@@ -216,7 +309,7 @@ def candidates(reps: DataFrame, trees: range, limit: float, forest: bool) -> Dat
             break
         if k < len(DEPTHS) - 1:
             rows = down(large, reps, trees, DEPTHS[k + 1])
-    return reduce(DataFrame.unionByName, found).distinct()
+    return reduce(DataFrame.unionByName, found).distinct(), None
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -249,7 +342,10 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 80, trees: int = TREES)
     for lot, forest in ((range(min(FIRST, trees)), True), (range(FIRST, trees), False)):
         if not len(lot):
             continue
-        new = cut(confirm(cut(candidates(known, lot, percent / 100, forest)), docs, k, percent))
+        pairs, large = candidates(known, lot, percent / 100, forest)
+        new = cut(confirm(cut(pairs), docs, k, percent))
+        if large is not None:
+            new = new.unionByName(cut(crowded(large, reps, docs, k, percent)))
         links = new if links is None else links.unionByName(new)
         release(docs)
         found = cut(components(links))
