@@ -2,9 +2,10 @@
 
 A text's words are its runs of letters, in lower case. A model gives each letter, and the
 end of the word, given up to ORDER - 1 characters before it in the word. Training counts
-cover every training row: words are counted in Spark, then their n-grams. N-grams of the
-top order are kept from the least count at which a language has at most MOST_NGRAMS of
-them (a documented bound of the model's size, and so of what is broadcast). Of each order
+cover every training row: words are counted in Spark, then their n-grams. All n-grams are
+kept, of every order and count, so discounts and continuation counts are those of the whole
+input; the model, which is built on the driver and broadcast, grows with the distinct
+n-grams of the languages. Of each order
 there is one sorted array of hashes, with a column for each language: the interpolated
 log-probability, also of n-grams which that language has not seen. A lookup that misses
 an order adds each language's back-off weight of the context and goes to the next order.
@@ -30,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, mix, table
+from .common import held_out, mix, table
 
-ORDER, MOST_NGRAMS, SAMPLE, REACH = 5, 200_000, 20_000, 4.0
+ORDER, SAMPLE, REACH = 5, 20_000, 4.0
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGIN, END = "\x02", "\x03"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -222,24 +223,9 @@ def hash_of(grams: list[str], k: int) -> np.ndarray:
     return hashes(points, np.tile(np.arange(n), len(grams)), n)[k][n - 1 :: n]
 
 
-def train(df: DataFrame, order: int = ORDER, most: int = MOST_NGRAMS) -> Model:
+def train(df: DataFrame, order: int = ORDER) -> Model:
     """df: lang, text. Rows without either are left out."""
-    counts = cut(count_ngrams(count_words(df.filter("lang IS NOT NULL AND text IS NOT NULL")), order))
-    tops = counts.filter(F.length("gram") == order)
-    # a table of counts of counts, cut at the count beyond which a language has `most` n-grams
-    steps = tops.select("lang", F.least("n", F.lit(1000)).alias("n")).groupBy("lang", "n").agg(F.count("*").alias("k")).collect()
-    least = {}
-    for lang in {r.lang for r in steps}:
-        total = 0
-        for r in sorted((r for r in steps if r.lang == lang), key=lambda r: -r.n):
-            total += r.k
-            if total > most:
-                break
-            least[lang] = r.n
-    keep = F.length("gram") < order
-    for lang, n in least.items():
-        keep = keep | (F.col("lang") == lang) & (F.col("n") >= n)
-    got = counts.filter(keep).toArrow()
+    got = count_ngrams(count_words(df.filter("lang IS NOT NULL AND text IS NOT NULL")), order).toArrow()
     return build(list(zip(*(got.column(x).to_pylist() for x in ("lang", "gram", "n")), strict=True)), order)
 
 
