@@ -11,9 +11,11 @@ log-probability, also of n-grams which that language has not seen. A lookup that
 an order adds each language's back-off weight of the context and goes to the next order.
 
 The language is the one of the lowest cross-entropy for a symbol; ties go to the first name.
-`reject` calibrates on training rows (at most SAMPLE, a documented bound): a language's
-median and 99.9th percentile of cross-entropy; a text is rejected beyond the latter
-by more than REACH times their distance, widened for short texts. Null text or text
+Rejection is calibrated on all training rows of LONG symbols or more: a language's median
+and 90th percentile of cross-entropy, which junk in a few percent of its rows doesn't move;
+a text is rejected beyond the latter by more than REACH times their distance, widened for
+short texts. A language of fewer than FEW_ROWS such rows takes the limit of all rows of all
+languages if that is looser, or if it has none of its own. Null text or text
 without a letter: `und`, score 0, rejected. No training rows: `und` everywhere, score 0.
 Empty table: no rows. Repeated rows and extra columns: each row is judged on its own.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, mix, table
 
-ORDER, SAMPLE, REACH = 5, 20_000, 4.0
+ORDER, REACH, LONG, FEW_ROWS = 5, 2.0, 100, 30
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGIN, END = "\x02", "\x03"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -289,23 +291,29 @@ def scores(df: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     return df.select(F.col(key), "text").mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, lang_pred string, score double, entropy double, n_symbols long")
 
 
-def calibrate(df: DataFrame, model: Model, sample: int = SAMPLE) -> Model:
-    """Limits of each language from at most `sample` rows of df, the least by hash."""
-    n = df.count()
-    part = df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))))
-    got = scores(part, model).filter("n_symbols >= 100").groupBy("lang_pred").agg(F.percentile_approx("entropy", [0.5, 0.999], 10_000).alias("q")).collect()
-    model.limits = {r.lang_pred: (r.q[0], r.q[1]) for r in got}
+def calibrate(df: DataFrame, model: Model) -> Model:
+    """Limits of each language from all rows of df; those of all languages together stand under `und`."""
+    long = scores(df, model).filter(F.col("n_symbols") >= LONG)
+    got = long.rollup("lang_pred").agg(F.percentile_approx("entropy", [0.5, 0.9], 10_000).alias("q"), F.count("*").alias("n")).collect()
+    limits = {r.lang_pred or "und": (r.q[0], r.q[1]) for r in got if r.n}
+    for r in got:
+        if r.n and r.n < FEW_ROWS and r.lang_pred:
+            limits[r.lang_pred] = max(limits[r.lang_pred], limits["und"], key=lambda x: x[1] + REACH * max(x[1] - x[0], 0.05))
+    model.limits = limits
     return model
 
 
 def accepted(reach: float, limits: dict[str, tuple[float, float]]):
     """The condition that a scored row isn't rejected."""
-    ok = F.lit(False)
-    for lang, (mid, top) in limits.items():
+    def within(mid: float, top: float):
         width = reach * (max(top - mid, 0.05) + 3 / F.sqrt(F.greatest(F.col("n_symbols"), F.lit(1)).cast("double")))
-        ok = F.when(F.col("lang_pred") == lang, F.col("entropy") <= top + width).otherwise(ok)
-    # a language whose training rows were all too short to calibrate rejects nothing
-    return F.when((F.col("lang_pred") != "und") & ~F.col("lang_pred").isin(*limits), True).otherwise(ok) & (F.col("lang_pred") != "und")
+        return F.col("entropy") <= top + width
+
+    # where all training rows were too short to calibrate, nothing is rejected
+    ok = within(*limits["und"]) if "und" in limits else F.lit(True)
+    for lang, limit in limits.items():
+        ok = F.when(F.col("lang_pred") == lang, within(*limit)).otherwise(ok)
+    return ok & (F.col("lang_pred") != "und")
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -351,7 +359,7 @@ def accepts(model: Model, sums: np.ndarray, n: int) -> bool:
     if not n or not len(sums):
         return False
     k = int(sums.argmax())
-    if (limit := model.limits.get(model.langs[k])) is None:
+    if (limit := model.limits.get(model.langs[k], model.limits.get("und"))) is None:
         return True
     mid, top = limit
     return -sums[k] / n <= top + REACH * (max(top - mid, 0.05) + 3 / n**0.5)
