@@ -1,7 +1,7 @@
 """Every query that has SQL gives the same rows as that SQL."""
 
 import pytest
-from conftest import same
+from rows import same
 
 from responsa.plans import ORACLES, QUERIES
 
