@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and stored in the shared checkpoint folder; its lineage ends there.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in
-    tests on one machine, a fresh temporary folder takes its place.
+    The folder is the session's spark.checkpoint.dir. Only where that is unset and all runs in
+    one process (a local master, as in tests), a fresh temporary folder takes its place.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="responsa-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="responsa-"))
     return df.checkpoint()
 
 
@@ -63,13 +69,37 @@ class Memo(dict):
         return out
 
 
-#: Rows of one id each that may be broadcast; more are joined by a shuffle.
-FEW = 500_000
+#: The one cache that a Python worker keeps between tasks.
+KEPT: dict[object, object] = {}
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """ids (stored, one long a row), marked for broadcast if they are few."""
-    return F.broadcast(ids) if ids.count() <= FEW else ids
+def sole(key: object, make: Callable[[], object]):
+    """The worker's cache of that key; the caches of earlier stages go when another one begins, so that a worker that Spark uses again never holds two."""
+    if key not in KEPT:
+        KEPT.clear()
+        tidy()
+        KEPT[key] = make()
+    return KEPT[key]
+
+
+def tidy() -> None:
+    """Gives memory that is free in this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Bytes, as JSON, of what may be broadcast; more is joined by a shuffle.
+FEW = 16_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (stored), marked for broadcast if all its rows and columns together are few bytes."""
+    n = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if n <= FEW else df
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -10,7 +10,7 @@ there is one sorted array of hashes, with a column for each language: the interp
 log-probability, also of n-grams which that language has not seen. A lookup that misses
 an order adds each language's back-off weight of the context and goes to the next order.
 
-The language is the one of the lowest cross-entropy for a symbol; ties go to the first name.
+Whole texts are read, however long. The language is the one of the lowest cross-entropy for a symbol; ties go to the first name.
 Rejection is calibrated on all training rows of LONG symbols or more: a language's median
 and 90th percentile of cross-entropy, which junk in a few percent of its rows doesn't move;
 a text is rejected beyond the latter by more than REACH times their distance, widened for
@@ -22,8 +22,10 @@ Empty table: no rows. Repeated rows and extra columns: each row is judged on its
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import re
+import sys
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,16 +35,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, mix, table
+from .common import held_out, mix, sole, table, tidy
 
 ORDER, REACH, LONG, FEW_ROWS = 5, 2.0, 100, 30
-LETTERS = re.compile(r"[^\W\d_]+")
 BEGIN, END = "\x02", "\x03"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+@functools.cache
+def letters() -> re.Pattern:
+    """Runs of letters, category L. The standard library's [^\\W\\d_] also has numbers that are no digits (½, Ⅷ); they are taken out."""
+    numbers = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    return re.compile(rf"[^\W\d_{re.escape(numbers)}]+")
+
+
 def words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    return letters().findall(text.lower()) if text else []
 
 
 def count_words(df: DataFrame) -> DataFrame:
@@ -59,9 +67,10 @@ def count_words(df: DataFrame) -> DataFrame:
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen.setdefault(k, Counter()).update(words(t))
-            if sum(map(len, seen.values())) > 400_000:
+            if sum(map(len, seen.values())) > 300_000:
                 yield flush()
         yield flush()
+        tidy()
 
     return df.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -118,7 +127,7 @@ class Model:
     weights: list[np.ndarray] = field(default_factory=list)
     unseen: np.ndarray = field(default_factory=lambda: np.zeros(0))
     limits: dict[str, tuple[float, float]] = field(default_factory=dict)
-    name: str = ""
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def log_probs(self, ws: list[str]) -> np.ndarray:
         """[words, languages]: log-probabilities of whole words, ends included."""
@@ -200,7 +209,6 @@ def build(rows: list[tuple[str, str, int]], order: int = ORDER) -> Model:
         model.contexts.append(keys[by])
         model.weights.append(np.log(np.array([[gammas[k][i].get(c, 1.0) for i in range(len(langs))] for c in cs]).reshape(-1, len(langs))[by]).astype(np.float32))
     model.unseen = np.log(floor).astype(np.float32)
-    model.name = hashlib.sha256(b"".join(x.tobytes() for x in [*model.keys, *model.probs])).hexdigest()
     return model
 
 
@@ -231,13 +239,10 @@ def train(df: DataFrame, order: int = ORDER) -> Model:
     return build(list(zip(*(got.column(x).to_pylist() for x in ("lang", "gram", "n")), strict=True)), order)
 
 
-SCORERS: dict[str, "Scorer"] = {}
-
-
 class Scorer:
     """Sums of words' scores, with a bounded cache of words."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most, self.rows, self.table, self.size = model, most, {}, np.zeros((0, len(model.langs)), np.float32), np.zeros(0, np.int32)
 
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -264,8 +269,10 @@ class Scorer:
 def scores(df: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     """key, lang_pred, score, entropy (nats a symbol; null where no letter), n_symbols."""
 
+    sent, name = df.sparkSession.sparkContext.broadcast(model), model.name
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = SCORERS.setdefault(model.name, Scorer(model))
+        scorer = sole(name, lambda: Scorer(sent.value))
         for b in batches:
             texts = b.column(1).to_pylist()
             best, share, h, sizes = [], [], [], []
@@ -283,8 +290,8 @@ def scores(df: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                         best.append("und"), share.append(0.0), h.append(None)
                         continue
                     k = int(s.argmax())
-                    # evidence of more than 40 symbols counts as that of 40
-                    p = np.exp((s - s[k]) * min(1.0, 40 / m))
+                    # symbols of one text depend on each other: m of them weigh as 40 m / (40 + m)
+                    p = np.exp((s - s[k]) * 40 / (40 + m))
                     best.append(model.langs[k]), share.append(float(1 / p.sum())), h.append(float(-s[k] / m))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(share, pa.float64()), pa.array(h, pa.float64()), pa.array(sizes, pa.int64())], [key, "lang_pred", "score", "entropy", "n_symbols"])
 
@@ -334,8 +341,10 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     fields = docs.schema
     names = [f"c{k}" for k in range(len(fields))]
 
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), model.name
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = SCORERS.setdefault(model.name, Scorer(model))
+        scorer = sole(name, lambda: Scorer(sent.value))
         for b in batches:
             texts = b.column(text_at).to_pylist()
             keep, at = [], 0

@@ -15,10 +15,11 @@ import unicodedata
 import numpy as np
 import regex
 
+from .common import sole
+
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Characters whose classes no version of Unicode has changed; of others the library and Python may think differently.
 OLD = re.compile("[\x00-\u024f\u2010-\u2027]*")
-SHARED: dict[str, "Encoder"] = {}
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -30,9 +31,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 def encoder(path: str | None = None) -> "Encoder":
     """One for each Python worker and file."""
     path = path or vocabulary()
-    if path not in SHARED:
-        SHARED[path] = Encoder(path)
-    return SHARED[path]
+    return sole(("tokens", path), lambda: Encoder(path))
 
 
 class Encoder:

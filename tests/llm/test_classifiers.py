@@ -89,14 +89,17 @@ def test_descent_reaches_the_optimum():
     xs = [np.unique(r.integers(0, 30, 8)) for _ in range(80)]
     ys = np.array([float((x < 12).sum() > 3) for x in xs])
     scale = r.uniform(0.5, 1.5, 30)
-    w, b = quality.descend(xs, ys, scale, cost=0.5, epochs=400)
+    w, b = quality.descend(xs, np.array(list(map(len, xs))), ys, scale, cost=0.5, epochs=2000)
     x = np.zeros((80, 31))
     for i, s in enumerate(xs):
         x[i, s] = scale[s] / math.sqrt(len(s))
     x[:, 30] = 1
-    u, sign = np.append(w, b), np.where(ys > 0, 1, -1)
-    slack = np.maximum(0, 1 - sign * (x @ u))
-    assert np.abs(u - 2 * 0.5 * (x * (sign * slack)[:, None]).sum(axis=0)).max() < 1e-2  # the gradient vanishes
+    sign = np.where(ys > 0, 1, -1)
+    loss = lambda u: u @ u / 2 + 0.5 * np.maximum(0, 1 - sign * (x @ u)).sum()
+    best, u = loss(np.append(w, b)), np.append(w, b)
+    # convex, so no step in any of many directions makes it less
+    steps = [np.eye(31)[i] * z for i in range(31) for z in (1, -1)] + list(r.normal(size=(300, 31)) / 5)
+    assert min(loss(u + h * d) for d in steps for h in (0.1, 0.01, 0.001)) > best - 1e-3
 
 
 def test_quality_cases(spark):
@@ -119,8 +122,38 @@ def test_class_counts_cover_all_training_rows(spark):
     docs = spark.createDataFrame([(i, "alpha beta" if i % 2 else "alpha") for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
     train = [i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2]
-    total = [r for r in quality.class_counts(quality.labelled(docs, labels)).collect() if r.bucket == -1][0]
-    assert (total.pos, total.neg) == (sum(i % 2 for i in train), sum(1 - i % 2 for i in train))
-    beta = quality.Features().buckets("alpha beta")
-    rows = {r.bucket: r for r in quality.class_counts(quality.labelled(docs, labels)).collect()}
-    assert all(rows[int(b)].pos == total.pos for b in beta)
+    names = quality.features("alpha beta", quality.Words())
+    rows = {r["at"]: r for r in quality.class_counts(quality.labelled(docs, labels), names).collect()}
+    assert (rows[-1].pos, rows[-1].neg) == (sum(i % 2 for i in train), sum(1 - i % 2 for i in train))
+    assert all(rows[k].pos == rows[-1].pos for k in range(len(names)))
+
+
+def test_scores_are_those_of_the_definition(spark):
+    """Counts, ratios, margins and curve by plain loops over sets of features; only the descent's weights are taken as they are."""
+    docs = [(i, ("fine words about rivers and stones %d" if i % 3 else "win win CASH %d now!!") % (i % 7)) for i in range(90)]
+    labels = [(i, int(i % 3 > 0)) for i in range(90)]
+    model = quality.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    cache = quality.Words()
+    sets = {i: {int(x) for x in quality.features(t, cache)} for i, t in docs}
+    rows = [i for i in sets if zlib.crc32(str(i).encode()) % 4 != 2]
+    seen = Counter(x for i in rows for x in sets[i])
+    assert {int(x) for x in model.names} <= {x for x, n in seen.items() if n >= quality.TEXTS}
+    weight = dict(zip(model.names.tolist(), model.weights.tolist(), strict=True))
+    got = {r.doc_id: r.score for r in quality.scores(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    for i, s in sets.items():
+        margin = sum(weight.get(x, 0.0) for x in s) / math.sqrt(len(s)) + model.bias
+        assert abs(got[i] - 1 / (1 + math.exp(-model.slope * margin - model.offset))) < 1e-9
+    pos = sum(y for i, y in labels if i in rows)
+    r = quality.ratios(np.array([3.0]), np.array([1.0]), pos, len(rows) - pos)[0]
+    assert abs(r - math.log((4 / (pos + 2)) / (2 / (len(rows) - pos + 2)))) < 1e-12
+
+
+def test_a_long_word_counts_whole_and_ties_are_stable(spark):
+    cache = quality.Words(4)
+    assert quality.shape("a" * 100 + "1B") == "xdX" and quality.shape("a1" * 20) == "xd" * 20
+    one, two = quality.features("x" * 80 + "1", cache), quality.features("x" * 80 + "2!", cache)
+    assert len(np.intersect1d(one, two)) < len(one)
+    assert (quality.features("a b c d e f g h", cache) == quality.features("a b c d e f g h", quality.Words())).all()
+    known = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 4 != 2)
+    labels = spark.createDataFrame([(known, 1), (known, 0), (known, 1)], "doc_id long, quality int")
+    assert [r.label for r in quality.sampled(labels, 3, 2).collect()] == [0, 1]

@@ -112,3 +112,15 @@ def test_recall_on_the_table(spark, data):
         s[k] = -9
         hits.append(len(got[e.vec_id[k]] & set(e.vec_id[np.argsort(-s)[:20]])) / min(20, len(v) - 1))
     assert np.mean(hits) >= 0.9
+
+
+def test_a_list_of_any_shape(spark):
+    """Paths of some 600 lengths under one host, and a host of many labels."""
+    rules = [("a.org", "/" + "x" * k, "block" if k % 2 else "allow") for k in range(600)] + [(".".join("abcdefgh") + ".net", "/p", "block"), ("org", "/" + "x" * 300 + "y", "block")]
+    urls = ["http://s.a.org/" + "x" * k + tail for k in (0, 1, 300, 599, 700) for tail in ("", "y", "?q")] + ["https://z." + ".".join("abcdefgh") + ".net/pq", "http://b.org/" + "x" * 300 + "yz", "http://org", "x://" + "." * 50 + "/"]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    for r in got:
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        best = max(fits, default=(0, None, "allow"))
+        assert (r.rule, r.verdict) == best[1:], urls[r.page_id]
+    assert len(got) == len(urls)
