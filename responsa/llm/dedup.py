@@ -1,38 +1,44 @@
 """Near-duplicate documents by a chosen-path similarity join on word shingles.
 
 1. A document's set: hashes (64 bits) of its distinct shingles of k words, words as the
-   runs of anything but white space after lower-casing A-Z. Documents with the same set
-   form a class; its smallest id stands for it from here on.
-2. Each representative gets minwise tokens: SKETCH coordinates, each the least of a
-   random hash over its set. Two documents share one with probability of their similarity.
-3. A tree starts with all representatives in one node. It branches a node by the tokens
-   that the tree selects at that depth (DEPTHS: how many tokens a path has in all).
-   Nodes of one document end. Nodes of at most SMALL documents are compared exhaustively.
-   In larger ones, each document is compared with a few leaders of the node, and the node
-   branches on, so that neither a group of copies nor a common passage makes a large task.
+   runs of anything but white space after lower-casing A-Z. Rows with the same set form a
+   class; one row, of the smallest doc_id, stands for it from here on.
+2. Each representative gets minwise tokens: coordinates, each the least of a random hash
+   over its set. Two documents share one with probability of their similarity.
+3. Each tree starts with all representatives in one node. A node selects a coordinate by a
+   hash of its path, and one node in four a second one, so a node has 1.25 coordinates on
+   average; its documents go to one child for each, the child of their token there. Two
+   documents of similarity 0.8 thus expect one common child of every common node. Nodes whose
+   documents are one component already end. Nodes of at most SMALL documents are compared
+   exhaustively; larger ones branch on. What is large after DEPTH selections is compared
+   whole, in pairs of blocks, each pair of blocks a group of its own.
 4. Comparisons go by sketch first; what could be similar enough is confirmed on full sets.
-   A first lot of trees joins what is plainly alike, by a spanning forest in each node; at
-   the last depth it deals a large node by hash into small ones, as it only saves work.
-   The second lot, with the rest of the TREES, compares only documents whose components
-   still differ, and confirms every pair that could be a link. Its trees end at EXACT
-   tokens: nodes that are large there are compared whole, in pairs of blocks of BLOCK
-   documents, each pair of blocks a group of its own. The work on such a node grows with
-   the square of its documents outside its commonest component, its tasks don't grow.
-
-The 12 trees of the second lot compare every pair that shares their first EXACT tokens,
-however large its node. Trees choose from the same PATH coordinates, so they don't miss
-independently: of two documents at the limit of 0.8, a simulation of 4,000,000 pairs
-misses 2e-5 at two tokens, and none at one (nodes of at most SMALL documents there).
-
-Text without words, or null: an empty set, linked with nothing. Fewer words than k: all
-of them as one shingle. Empty table: no rows. Rows that repeat a doc_id are copies of one
-document if their sets agree; each row is returned. Ties: the smallest id.
+   Confirmation deals documents into blocks, so that a text goes to each pair of blocks
+   once, however many pairs it is in there.
+
+Before that, FIRST trees only join what is plainly alike, to save work: of each node they
+confirm a spanning forest of the likeliest pairs, and deal large nodes by hash. They leave no
+pair out, as the trees of the second lot don't rely on them.
+
+Recall: `missed` computes the probability that a pair at the limit never meets, from the
+branching process and the number of coordinates; `trees_for` takes as many trees as bring it
+below MISS, as if every node had to branch to the full depth. No pair in a node is skipped,
+whatever the node's size; the work on a large family of documents that are similar but not
+linked grows with the square of its size outside its commonest component, its tasks don't.
+
+Text without words, or null: an empty set, linked with nothing. Fewer words than k: all of
+them as one shingle. Very long texts are read whole. Empty table: no rows. Repeated rows: one
+class, each is returned. One doc_id with different texts: each text is a document of its own,
+and the component's id is the smallest doc_id in it; null doc_ids come last. Ties among
+equal doc_ids go to the row that comes first. Columns of docs other than doc_id and text,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +46,44 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, fresh, mix, release, small, table
+from .common import Memo, cut, fresh, mix, release, small, sole, table, tidy
 from .components import components
 
-SKETCH, PATH, TREES, FIRST, SMALL, DEPTHS, LEADERS = 192, 64, 14, 2, 48, (1, 2, 3, 5, 8, 14, 24), 2
-#: Tokens at which the second lot compares large nodes whole; documents of a block.
-EXACT, BLOCK = 2, 512
+#: Coordinates of a sketch (8 bits each); of these, tokens that trees select from (24 bits each).
+SKETCH, TOKENS, WIDTH = 192, 128, 3
+#: Selections before the first count of nodes, and in all; documents of a node that is compared at once; trees of the first lot.
+START, DEPTH, SMALL, FIRST = 2, 4, 64, 2
+#: The probability that a pair at the limit is missed is below this.
+MISS = 2e-5
+#: Documents and shingles of a block.
+BLOCK, LOAD = 512, 200_000
 #: Sketches of 192 coordinates stray from the similarity by 0.029 (one sigma, at 0.8). Below the limit by more than five: no link.
 FAR = 0.15
+#: A node with more than this share of all rows is joined by broadcast: there are at most 1 / HOT.
+HOT = 0.001
 CONSTANTS = mix(np.arange(1, 2 * SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, SKETCH)
-WORDS = Memo(xxhash.xxh64_intdigest, 400_000)
+
+
+def survives(s: float, depth: int) -> float:
+    """The probability that two documents, which share each token with probability s, share a node after so many selections."""
+    p = 1.0
+    for _ in range(depth):
+        p = 1 - (1 - s * p) * (1 - 0.25 * s * p)
+    return p
+
+
+def missed(s: float, trees: int, depth: int = DEPTH, tokens: int = TOKENS) -> float:
+    """The probability that two documents of similarity s share no node in any tree; trees select from the same tokens."""
+    agree = lambda a: math.comb(tokens, a) * s**a * (1 - s) ** (tokens - a)
+    return sum(agree(a) * (1 - survives(a / tokens, depth)) ** trees for a in range(tokens + 1))
+
+
+@cache
+def trees_for(s: float, miss: float = MISS) -> int:
+    n = 1
+    while missed(s, n) > miss:
+        n += 1
+    return n
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -57,7 +91,8 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not ws:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(WORDS.__getitem__, ws), np.uint64, len(ws))
+    words = sole("shingles", lambda: Memo(xxhash.xxh64_intdigest, 300_000))
+    h = np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws))
     n = max(1, len(h) - k + 1)
     out = np.full(n, min(k, len(h)), np.uint64)
     for i in range(min(k, len(h))):
@@ -66,94 +101,106 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """[SKETCH] least of each coordinate's hash, as int32."""
+    """[SKETCH] least of each coordinate's hash, as uint32."""
     best = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(s), 2048):
         part = s[at : at + 2048, None] * (CONSTANTS[0] | np.uint64(1)) + CONSTANTS[1]
         best = np.minimum(best, (part ^ (part >> np.uint64(29))).min(axis=0))
-    return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (best >> np.uint64(32)).astype(np.uint32)
+
+
+PRINTS = "row long, doc_id long, text_hash long, n_shingles long, f1 long, f2 long, tokens binary, short binary"
 
 
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (equal for equal sets only, 128 bits), tokens (PATH coordinates of 32 bits), short (8 bits of each coordinate)."""
+    """row (a number of its own), doc_id, text_hash, n_shingles, f1, f2 (equal for equal sets only, 128 bits), tokens, short of each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, k)
+            for t in b.column(3):  # one text at a time: a batch may be large
+                s = shingles(t.as_py(), k)
                 if not len(s):
                     rows.append((0, 0, 0, None, None))
                     continue
-                x, sk = mix(s + np.uint64(1)), sketch(s)
-                rows.append((len(s), int(x.sum().view(np.int64)), int(mix(x ^ CONSTANTS[0, 0]).sum().view(np.int64)), sk[:PATH].tobytes(), sk.view(np.uint8)[::4].tobytes()))
+                x, sk = mix(s + np.uint64(1)), sketch(s).view(np.uint8).reshape(SKETCH, 4)
+                rows.append((len(s), int(x.sum().view(np.int64)), int(mix(x ^ CONSTANTS[0, 0]).sum().view(np.int64)), sk[:TOKENS, :WIDTH].tobytes(), sk[:, 0].tobytes()))
             cols = zip(*rows, strict=True) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True))], ["doc_id", "n_shingles", "f1", "f2", "tokens", "short"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, tokens binary, short binary")
-
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in PRINTS.split(", ")])
+        tidy()
 
-def selected(tree: int, depth: int) -> list[int]:
-    """The coordinates on a path of that tree down to that depth."""
-    return np.random.default_rng([7, tree]).permutation(PATH)[:depth].tolist()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, PRINTS)
 
 
-def node(tree: int, depth: int) -> Column:
-    """The hash of the tokens that the tree selects."""
-    return F.xxhash64(F.lit(tree), *(F.substring("tokens", 4 * c + 1, 4) for c in selected(tree, depth)))
+def branch(rows: DataFrame) -> DataFrame:
+    """rows (node, id, component, tokens) at their nodes' children."""
+    token = lambda c: F.substring(F.col("tokens"), c * WIDTH + 1, F.lit(WIDTH))
+    pick = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(TOKENS)).cast("int")
+    child = lambda salt: F.xxhash64("node", pick(salt), token(pick(salt)))
+    second = F.when(F.pmod(F.xxhash64("node", F.lit(0)), F.lit(4)) == 0, child(2))
+    return rows.select(F.explode(F.array_distinct(F.array_compact(F.array(child(1), second)))).alias("node"), "id", "component", "tokens")
 
 
-def paths(reps: DataFrame, trees: range, depth: int) -> DataFrame:
-    """tree, node, id, component: one row of each representative for each tree."""
-    nodes = F.array(*(F.struct(F.lit(t).alias("tree"), node(t, depth).alias("node")) for t in trees))
-    return reps.select("id", "component", F.explode(nodes).alias("x")).select("x.tree", "x.node", "id", "component")
+def roots(reps: DataFrame, trees: range) -> DataFrame:
+    """node, id, component after START selections of each tree."""
+    rows = reps.select(F.explode(F.array(*(F.lit(t).cast("long") for t in trees))).alias("node"), "id", "component", "tokens")
+    return reduce(lambda df, _: branch(df), range(START), rows).select("node", "id", "component")
 
 
-def down(rows: DataFrame, reps: DataFrame, trees: range, depth: int) -> DataFrame:
-    """The nodes of rows (tree, id) at a greater depth."""
-    at = F.lit(None).cast("long")
-    for t in trees:
-        at = F.when(F.col("tree") == t, node(t, depth)).otherwise(at)
-    return rows.select("tree", "id", "component").join(reps.select("id", "tokens"), "id").select("tree", at.alias("node"), "id", "component")
+def shared(rows: DataFrame) -> DataFrame:
+    """rows (node, id, component), with m, how many the node has, where the node's documents are of more than one component; stored."""
+    nodes = rows.groupBy("node").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("node", "m")
+    nodes = cut(nodes)
+    total = nodes.agg(F.sum("m")).first()[0] or 0
+    hot = F.broadcast(nodes.filter(F.col("m") > total * HOT))  # at most 1 / HOT rows
+    rest = rows.join(hot.select("node"), "node", "left_anti").join(nodes.filter(F.col("m") <= total * HOT), "node")
+    return cut(rest.unionByName(rows.join(hot, "node")))
 
 
 def compare(rows: DataFrame, least: float, forest: bool) -> DataFrame:
-    """a, b of pairs in a node whose sketches agree on at least that share, from rows (node, id, component, sketch) with small nodes.
+    """a, b of pairs in a node, of different components, whose sketches agree on at least that share; rows (node, id, component, short) have nodes of few documents.
 
-    forest: only a spanning forest of each node, the likeliest first; else all pairs but those that surer links connect already.
+    forest: only a spanning forest of each node, the likeliest first.
     """
-    sure = 1.0 - 1.0 / SKETCH
 
-    def pairs(ids: np.ndarray, comps: np.ndarray, sk: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list, list]:
-        left, right = [], []
-        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
-            m = e - s
-            if m < 2 or (comps[s:e] == comps[s]).all():
-                continue
-            i, j = np.triu_indices(m, 1)
-            ok = comps[s + i] != comps[s + j]
-            i, j = i[ok], j[ok]
-            same = (sk[s + i] == sk[s + j]).mean(axis=1)
-            ok = np.flatnonzero(same >= least)
-            if not len(ok):
-                continue
-            order = ok[np.argsort(-same[ok], kind="stable")]
-            root = list(range(m))
-
-            def find(x: int, root: list[int] = root) -> int:
+    def candidates(node: np.ndarray, comps: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of pairs and how many coordinates agree."""
+        left, right, same = [], [], []
+        at = np.arange(len(node))
+        for d in range(1, len(node)):  # ends at the size of the largest node
+            at = at[at + d < len(node)]
+            at = at[node[at] == node[at + d]]
+            if not len(at):
+                break
+            for k in range(0, len(at), 20_000):
+                i = at[k : k + 20_000]
+                i = i[comps[i] != comps[i + d]]
+                n = (sk[i] == sk[i + d]).sum(axis=1)
+                ok = n >= least * SKETCH
+                left.append(i[ok]), right.append(i[ok] + d), same.append(n[ok])
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, same))
+
+    def emit(b: pa.RecordBatch) -> pa.RecordBatch:
+        node, ids, comps = (b.column(k).to_numpy() for k in range(3))
+        sk = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)
+        i, j, same = candidates(node, comps, sk)
+        if forest:
+            root = list(range(len(node)))
+
+            def find(x: int) -> int:
                 while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
+                    root[x] = x = root[root[x]]
                 return x
 
-            for x, y, p in zip(i[order].tolist(), j[order].tolist(), same[order].tolist(), strict=True):
-                a, b = find(x), find(y)
-                if a == b:
-                    continue
-                left.append(ids[s + x]), right.append(ids[s + y])
-                if forest or p >= sure:
-                    root[b] = a
-        return left, right
+            keep = []
+            for n in np.argsort(-same, kind="stable").tolist():
+                if (x := find(int(i[n]))) != (y := find(int(j[n]))):
+                    root[y] = x
+                    keep.append(n)
+            i, j = i[keep], j[keep]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -167,28 +214,78 @@ def compare(rows: DataFrame, least: float, forest: bool) -> DataFrame:
                 yield emit(b)
         if rest is not None and rest.num_rows:
             yield emit(rest)
+        tidy()
 
-    def emit(b: pa.RecordBatch) -> pa.RecordBatch:
-        node, ids, comps = (b.column(k).to_numpy() for k in range(3))
-        sk = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)
-        starts = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
-        left, right = pairs(ids, comps, sk, starts, np.append(starts[1:], len(node)))
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    placed = rows.select("node", "id", "component", "short").repartition("node").sortWithinPartitions("node", "id")
+    placed = rows.select("node", "id", "component", "short").repartition("node").sortWithinPartitions("node")
     return placed.mapInArrow(run, "a long, b long")
 
 
-def likely(pairs: DataFrame, least: float) -> DataFrame:
-    """a, b of rows (a, b, s1, s2) whose sketches agree on at least that share."""
+def candidates(reps: DataFrame, trees: range, least: float, forest: bool) -> tuple[DataFrame, DataFrame | None]:
+    """a, b: pairs of reps (id, component, tokens, short; stored) to confirm; and, but for a forest, the rows (node, id, component, m) of nodes that are large after DEPTH selections."""
+    found, shorts, rows, large = [], reps.select("id", "short"), roots(reps, trees), None
+    for depth in range(START, DEPTH + 1):
+        rows = shared(rows)
+        few = rows
+        if not (forest and depth == DEPTH):
+            few = rows.filter(F.col("m") <= SMALL)
+        elif forest:  # large nodes are dealt into small ones
+            few = rows.withColumn("node", F.when(F.col("m") > SMALL, F.xxhash64("node", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") * 2 / SMALL)))).otherwise(F.col("node")))
+        # each depth is a job of its own: one plan of all depths takes more memory on the driver than the rest of the work
+        found.append(cut(compare(few.join(shorts, "id"), least, forest).distinct()))
+        large = rows.filter(F.col("m") > SMALL)
+        release(reps)
+        if large.isEmpty():
+            large = None
+            break
+        if depth < DEPTH:
+            rows = branch(large.select("node", "id", "component").join(reps.select("id", "tokens"), "id")).select("node", "id", "component")
+    return reduce(DataFrame.unionByName, found).distinct(), None if forest else large
+
+
+def texts_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, text of ids (stored, distinct)."""
+    low = F.lit(-(1 << 63))  # for null
+    need = cut(ids.join(reps.select("id", F.coalesce("doc_id", low).alias("d"), "text_hash"), "id"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), low).alias("d"), F.xxhash64("text").alias("text_hash"), "text")
+    return texts.join(small(need), ["d", "text_hash"]).groupBy("id").agg(F.first("text").alias("text"))
+
+
+def linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    inter = len(np.intersect1d(one, two, assume_unique=True))
+    return inter > 0 and 100 * inter >= percent * (len(one) + len(two) - inter)
+
+
+def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b of pairs (stored) whose full sets meet 100 * intersection >= percent * union."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    n, load = ids.join(reps.select("id", "n_shingles"), "id").agg(F.count("*"), F.sum("n_shingles")).first()
+    blocks = max(1, -(-n // BLOCK), -(-(load or 0) // LOAD))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    met = pairs.withColumn("g", F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b")))
+    # one row for each document of a pair of blocks, with its partners there: at most a block of them
+    rows = met.select("g", F.col("a").alias("id"), F.col("b").alias("w")).unionByName(met.select("g", F.col("b").alias("id"), F.lit(None).cast("long").alias("w")))
+    rows = rows.groupBy("g", "id").agg(F.collect_list("w").alias("w")).join(texts_of(ids, reps, docs), "id")
+
+    def settle(sets: dict[int, np.ndarray], asked: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+        links = [(a, b) for a, bs in asked for b in bs if linked(sets[a], sets[b], percent)]
+        return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, asked = None, {}, []
         for b in batches:
-            one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH) for k in (2, 3))
-            keep = (one == two).mean(axis=1) >= least
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+            for g, i, w, t in zip(*(b.column(c) for c in range(4)), strict=True):
+                if (g := g.as_py()) != now:
+                    if asked:
+                        yield settle(sets, asked)
+                    now, sets, asked = g, {}, []
+                sets[i.as_py()] = shingles(t.as_py(), k)
+                if len(w):
+                    asked.append((i.as_py(), w.as_py()))
+        if asked:
+            yield settle(sets, asked)
+        tidy()
 
-    return pairs.select("a", "b", "s1", "s2").mapInArrow(run, "a long, b long")
+    return rows.select("g", "id", "w", "text").repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 
 
 def alike(one: list[bytes], two: list[bytes]) -> np.ndarray:
@@ -221,24 +318,25 @@ def meet(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
 def crowded(large: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: links inside large nodes, confirmed on full sets, as many as connect what any link there connects.
 
-    large (stored): tree, node, id, component, m. Every document meets every other of its
-    node but those of its own component: in each node the blocks of the commonest component
-    come first and don't meet each other.
+    large (stored): node, id, component, m. Every document meets every other of its node but
+    those of its own component: in each node the blocks of the commonest component come first
+    and don't meet each other. Blocks have BLOCK documents and LOAD shingles, on average.
     """
     least = percent / 100 - FAR
-    sums = large.groupBy("tree", "node", "component").agg(F.count("*").alias("c"))
-    most = sums.groupBy("tree", "node").agg(F.max(F.struct("c", "component")).alias("x")).select("tree", "node", F.col("x.c").alias("c"), F.col("x.component").alias("main"))
-    rows = large.join(most, ["tree", "node"])
-    first, other = F.ceil(F.col("c") / BLOCK), F.ceil((F.col("m") - F.col("c")) / BLOCK)
+    large = large.select("node", "id", "component").join(reps.select("id", "n_shingles", "short"), "id")
+    sums = large.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
+    most = sums.groupBy("node").agg(F.max(F.struct("c", "component")).alias("x"), F.sum("c").alias("m"), F.sum("s").alias("t"))
+    most = most.select("node", "m", "t", F.col("x.c").alias("c"), F.col("x.component").alias("main"))
+    rows = large.join(most, "node")
+    each = F.least(F.lit(BLOCK), F.ceil(F.lit(LOAD) * F.col("m") / F.col("t")))
+    first, other = F.ceil(F.col("c") / each), F.ceil((F.col("m") - F.col("c")) / each)
     in_main = F.col("component") == F.col("main")
-    h = F.xxhash64("id", "tree")
+    h = F.xxhash64("id", "node")
     at = F.when(in_main, F.pmod(h, first)).otherwise(first + F.pmod(h, F.greatest(other, F.lit(1))))
-    rows = rows.select("tree", "node", "id", "component", at.alias("x"), F.when(in_main, first).otherwise(F.lit(0)).alias("from"), (first + other - 1).alias("to"))
-    rows = rows.select("tree", "node", "id", "component", "x", F.explode(F.sequence("from", "to")).alias("y"))
-    rows = rows.select(F.xxhash64("tree", "node", F.least("x", "y"), F.greatest("x", "y")).alias("pair"), "x", "id", "component")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = texts.join(small(cut(large.select("id").distinct())), "id", "left_semi").dropDuplicates(["id"])
-    rows = rows.join(texts.join(reps.select("id", "short"), "id"), "id")
+    rows = rows.select("node", "id", "component", "short", at.alias("x"), F.when(in_main, first).otherwise(F.lit(0)).alias("from"), (first + other - 1).alias("to"))
+    rows = rows.select("node", "id", "component", "short", "x", F.explode(F.sequence("from", "to")).alias("y"))
+    rows = rows.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("pair"), "x", "id", "component", "short")
+    rows = rows.join(texts_of(cut(large.select("id").distinct()), reps, docs), "id")
 
     def run(t: pa.Table) -> pa.Table:
         x, ids, comps = (t.column(c).to_numpy() for c in ("x", "id", "component"))
@@ -274,96 +372,49 @@ def crowded(large: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
     return rows.groupBy("pair").applyInArrow(run, "a long, b long")
 
 
-def candidates(reps: DataFrame, trees: range, limit: float, forest: bool) -> tuple[DataFrame, DataFrame | None]:
-    """a, b: pairs of reps (id, component, tokens, short) to confirm, from these trees; and, but for a forest, the rows of nodes that are still large at EXACT tokens. reps must be stored."""
-    least, found = limit - FAR, []
-    shorts = reps.select("id", "short")
-    one = reps.select(F.col("id").alias("a"), F.col("component").alias("c1"), F.col("short").alias("s1"))
-    two = reps.select(F.col("id").alias("b"), F.col("component").alias("c2"), F.col("short").alias("s2"))
-    pairs = lambda x: x.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rows = paths(reps, trees, DEPTHS[0])
-    for k, depth in enumerate(DEPTHS):
-        # nodes of one component have nothing left to find
-        nodes = rows.groupBy("tree", "node").agg(F.count("*").alias("m"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").drop("c1", "c2")
-        rows = cut(rows.join(nodes, ["tree", "node"]))
-        some = rows.filter(F.col("m") <= SMALL).select(F.xxhash64("tree", "node").alias("node"), "id", "component")
-        met = pairs(compare(some.join(shorts, "id"), least, forest))
-        large = rows.filter(F.col("m") > SMALL)
-        done = large.isEmpty()
-        if not done and not forest and depth >= EXACT:
-            found.append(cut(met.distinct()))
-            return reduce(DataFrame.unionByName, found).distinct(), cut(large)
-        if not done:
-            # leaders: of each large node those with the least hashes
-            sizes = large.groupBy("tree", "node").agg(*(F.min_by("id", F.xxhash64("id", F.lit(n), "tree")).alias(f"l{n}") for n in range(LEADERS)))
-            led = large.join(sizes, ["tree", "node"]).select("id", F.explode(F.array(*(f"l{n}" for n in range(LEADERS)))).alias("b")).filter("id <> b")
-            led = led.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-            met = met.unionByName(likely(led.join(one, "a").join(two, "b").filter("c1 <> c2"), least))
-            if k == len(DEPTHS) - 1:  # dealt by hash into small nodes, in each tree otherwise
-                part = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("m") * 2 / SMALL))
-                met = met.unionByName(pairs(compare(large.select(F.xxhash64("tree", "node", part).alias("node"), "id", "component").join(shorts, "id"), least, forest)))
-        # each depth is a job of its own: one plan of all depths takes more memory on the driver than the rest of the work
-        found.append(cut(met.distinct()))
-        release(reps)
-        if done:
-            break
-        if k < len(DEPTHS) - 1:
-            rows = down(large, reps, trees, DEPTHS[k + 1])
-    return reduce(DataFrame.unionByName, found).distinct(), None
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b of pairs whose full sets meet 100 * intersection >= percent * union. Texts go along; sets are made where they are compared."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    need = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = texts.join(small(need), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Memo(lambda t: shingles(t, k), 2_000)
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                one, two = sets[x], sets[y]
-                inter = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(inter > 0 and 100 * inter >= percent * (len(one) + len(two) - inter))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def classes(docs: DataFrame, k: int = 4, percent: int = 80, trees: int = TREES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
+def grouped(docs: DataFrame, k: int, percent: int, trees: int | None = None) -> DataFrame:
+    """row, doc_id, text_hash, n_shingles, and first (absent, doc_id, row), the least row of its group, of each row of docs; first is null for empty sets."""
+    trees = trees_for(percent / 100) if trees is None else trees
     prints = cut(fingerprints(docs, k))
     sets = ["n_shingles", "f1", "f2"]
-    first = F.min_by(F.struct("doc_id", "tokens", "short"), "doc_id").alias("x")
-    reps = cut(prints.filter("n_shingles > 0").groupBy(*sets).agg(first).select(*sets, F.col("x.doc_id").alias("id"), "x.tokens", "x.short"))
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "row")
+    reps = prints.filter("n_shingles > 0").groupBy(*sets).agg(F.min_by(F.struct("doc_id", "row", "text_hash", "tokens", "short"), order).alias("x"))
+    reps = cut(reps.select(*sets, F.col("x.row").alias("id"), "x.doc_id", "x.text_hash", "x.tokens", "x.short"))
     links, known = None, reps.withColumn("component", F.col("id"))
-    for lot, forest in ((range(min(FIRST, trees)), True), (range(FIRST, trees), False)):
-        if not len(lot):
-            continue
-        pairs, large = candidates(known, lot, percent / 100, forest)
-        new = cut(confirm(cut(pairs), docs, k, percent))
+    for lot, forest in ((range(trees, trees + FIRST), True), (range(trees), False)):
+        pairs, large = candidates(known, lot, percent / 100 - (FAR / 2 if forest else FAR), forest)
+        new = cut(confirm(cut(pairs), reps, docs, k, percent))
         if large is not None:
             new = new.unionByName(cut(crowded(large, reps, docs, k, percent)))
         links = new if links is None else links.unionByName(new)
         release(docs)
         found = cut(components(links))
         known = cut(reps.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    firsts = known.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.col("id").alias("row"))).alias("first"))
     # the table of sets is joined last; a set that very many rows share is split where it is skewed
-    of = known.select(*sets, "component")
-    out = prints.select("doc_id", *sets).join(of, sets, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    of = known.select(*sets, "component").join(firsts, "component").select(*sets, "first")
+    return prints.select("row", "doc_id", "text_hash", *sets).join(of, sets, "left").select("row", "doc_id", "text_hash", "n_shingles", "first")
+
+
+def classes(docs: DataFrame, k: int = 4, percent: int = 80, trees: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
+    out = grouped(docs, k, percent, trees).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs, one of each class: of the smallest doc_id, once if its row repeats."""
-    found = cut(classes(docs, k, percent))
-    name = fresh(docs, "gone")
-    gone = cut(found.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct())
-    out = docs.join(small(gone), F.col("doc_id") == F.col(name), "left_anti")
-    again = found.filter("kept").groupBy("doc_id").count().filter("count > 1")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+    """Rows of docs, one of each group: of the smallest doc_id, once if its row repeats. Rows without words stay."""
+    found = cut(grouped(docs, k, percent).filter("first IS NOT NULL").select("doc_id", "text_hash", F.col("row").eqNullSafe(F.col("first.row")).alias("kept")))
+    low = F.lit(-(1 << 63))  # for null
+    d, h, n = (fresh(docs, x) for x in ("group_doc", "group_hash", "group_rows"))
+    texts = found.groupBy(F.coalesce("doc_id", low).alias(d), F.col("text_hash").alias(h)).agg(F.max("kept").alias("kept"), F.count("*").alias(n))
+    texts = cut(texts)
+    marked = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), low), h: F.xxhash64("text")})
+    out = marked.join(small(cut(texts.filter("NOT kept").select(d, h))), [d, h], "left_anti")
+    again = cut(texts.filter(F.col("kept") & (F.col(n) > 1)).select(d, h))
+    if not again.isEmpty():
+        out = out.join(small(again), [d, h], "left_anti").unionByName(out.join(small(again), [d, h], "left_semi").dropDuplicates([d, h]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
