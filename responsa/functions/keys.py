@@ -49,3 +49,10 @@ def data_category(key: Column, n: int = 15, seed: int = 0) -> Column:
 def order_hash(key: Column, seed: int = 0) -> Column:
     """What seeded choices are ordered by: SHA-1 of 'seed:key', the same in any SQL engine."""
     return F.sha1(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
+
+
+def order_free_hash(hashes: DataFrame, column: str) -> DataFrame:
+    """content_hash, n: one hash of a set of distinct hex hashes. Those with the same three leading digits are hashed in order, then the 4,096 results at most."""
+    part = hashes.groupBy(F.substring(column, 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(column)), "").cast("binary"), 256).alias("b"), F.count("*").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("p", "b"))), lambda x: x["b"])
+    return part.agg(F.sha2(F.array_join(ordered, "").cast("binary"), 256).alias("content_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that stand for a missing value.
@@ -34,8 +34,11 @@ def condition_column(c: Column) -> Column:
 def soft_labels(df: DataFrame, response: str, group: str) -> DataFrame:
     """label: values outside [0, 1] over the group's largest absolute value (1 at least), then clipped."""
     r = F.col(response)
-    top = F.greatest(F.max(F.abs(r)).over(Window.partitionBy(group)), F.lit(1.0))
-    return df.withColumn("label", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when((r < 0) | (r > 1), r / top).otherwise(r))))
+    outside = (r < 0) | (r > 1)
+    # one row a group; only groups with values outside need theirs
+    tops = df.filter(outside).groupBy(F.col(group).alias("_group")).agg(F.greatest(F.max(F.abs(r)), F.lit(1.0)).alias("_top"))
+    out = df.join(tops, F.col(group).eqNullSafe(F.col("_group")), "left")
+    return out.withColumn("label", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(outside, r / F.col("_top")).otherwise(r)))).drop("_group", "_top")
 
 
 def hard_labels(r: Column, threshold: float = 0.5) -> Column:

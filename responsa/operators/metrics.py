@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from responsa.functions.normalize import logit
 
+#: Ranges of probabilities that are ranked apart.
+CELLS = 4096
+
 
 def bce(y: Column, p: Column, eps: float = 1e-7) -> Column:
     y, p = F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0)), F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
@@ -19,9 +22,15 @@ def bin_of(p: Column, n: int = 10) -> Column:
 
 
 def auc_parts(df: DataFrame, groups: list[str], y: str, p: str, order: str) -> DataFrame:
-    """groups, auc: by ordinal ranks, ties in the order of `order`; null for soft labels or one class."""
-    w = Window.partitionBy(*groups).orderBy(p, order)
-    r = df.withColumn("_r", F.row_number().over(w))
+    """groups, auc: by ordinal ranks, ties in the order of `order`; null for soft labels or one class.
+
+    Probabilities are cut into CELLS ranges: counts of ranges come first, and only the rows of
+    one range of one group are ordered in one task.
+    """
+    cut = df.withColumn("_c", F.floor(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)) * CELLS))
+    sizes = cut.groupBy(*groups, "_c").agg(F.count("*").alias("_n"))
+    before = sizes.select(*groups, "_c", (F.sum("_n").over(Window.partitionBy(*groups).orderBy("_c")) - F.col("_n")).alias("_before"))
+    r = cut.join(before, [*groups, "_c"]).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(*groups, "_c").orderBy(p, order)))
     hit, pos = F.col(y) >= 0.5, F.count_if(F.col(y) >= 0.5)
     agg = r.groupBy(*groups).agg(
         F.sum(F.when(hit, F.col("_r"))).alias("s"), pos.cast("double").alias("np"), F.count_if(~hit).cast("double").alias("nn"), F.max(F.abs(F.col(y) - hit.cast("double"))).alias("soft"))

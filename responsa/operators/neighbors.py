@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from responsa.functions.normalize import logit, sigmoid
 from responsa.operators.metrics import bce
 
 BLOCK = 4096
@@ -69,24 +68,48 @@ def centroid_distances(points: DataFrame, centroids: DataFrame, m: int) -> DataF
     return every.withColumn("rank", rank).filter(F.col("rank") <= m).select("id", "rank", "cluster", "d2")
 
 
-def lookups(rows: DataFrame, neighbours: DataFrame, passrates: DataFrame) -> DataFrame:
-    """row_id, rank, item, sim, r, m: each row's neighbours and its subject's pass rate there; m is 0, and r 0, where there is none. rows: row_id, subject_id, item_no."""
-    out = rows.join(neighbours, F.col("item_no") == F.col("query")).select("row_id", "subject_id", "rank", "item", "sim")
+def lookups(rows: DataFrame, neighbours: DataFrame, passrates: DataFrame, *more: str) -> DataFrame:
+    """row_id, rank, item, sim, r, m: each row's neighbours and its subject's pass rate there; m is 0, and r 0, where there is none. rows: row_id, subject_id, item_no, and more columns to go along."""
+    out = rows.join(neighbours, F.col("item_no") == F.col("query")).select("row_id", "subject_id", "rank", "item", "sim", *more)
     got = passrates.select("subject_id", F.col("item_no").alias("item"), F.col("passrate").alias("r"))
-    return out.join(got, ["subject_id", "item"], "left").select("row_id", "subject_id", "rank", "item", "sim", F.coalesce("r", F.lit(0.0)).alias("r"), F.col("r").isNotNull().cast("int").alias("m"))
+    return out.join(got, ["subject_id", "item"], "left").select("row_id", "subject_id", "rank", "item", "sim", F.coalesce("r", F.lit(0.0)).alias("r"), F.col("r").isNotNull().cast("int").alias("m"), *more)
+
+
+#: Traits of subjects that have a conditional feature.
+TRAITS = ("family", "macro_family", "organization")
+
+
+def in_context(looked: DataFrame, rates: dict[str, DataFrame], items: DataFrame) -> DataFrame:
+    """looked (with TRAITS, benchmark and age of the row's own) with what nn_features() takes from context.
+
+    rates: by trait, (trait, item_no, passrate); a null trait is redacted. items: item_no, its
+    item_benchmark, item_age, item_rate and n_subjects.
+    """
+    out = looked
+    for t, r in rates.items():
+        out = out.join(r.select(F.col("trait").alias(t), F.col("item_no").alias("item"), F.col("passrate").alias(f"r_{t}")), [t, "item"], "left")
+    return out.join(items.withColumnRenamed("item_no", "item"), "item", "left")
 
 
 def nn_features(looked: DataFrame, fallback: float = 0.0) -> DataFrame:
-    """row_id and the fifteen cells that need a subject's own neighbours only, in the locked order.
+    """row_id and the 23 cells in the locked order.
 
-    looked: as lookups() gives it, K rows for each row_id.
+    looked: K rows for each row_id, as lookups() and in_context() give them, with
+    cluster_rate, the subject's pass rate in the row's cluster. Cells whose input is missing
+    (a trait, benchmark, age or cluster that isn't known; no neighbour that tells anything) are
+    `fallback`, and so are all context cells where looked comes from lookups() alone.
     """
+    context = "item_rate" in looked.columns
+    if not context:
+        nothing = {f"r_{t}": F.lit(None).cast("double") for t in TRAITS} | {c: F.lit(None).cast("double") for c in ("item_age", "item_rate", "n_subjects", "age", "cluster_rate")}
+        looked = looked.withColumns(nothing | {c: F.lit(None).cast("string") for c in ("benchmark", "item_benchmark")})
     fb, n, k = F.lit(fallback), F.col("n"), F.col("k")
     w = F.greatest(F.col("sim") * F.col("m"), F.lit(0.0))
     first = lambda c: F.max(F.when(F.col("rank") == 1, c))
     a = looked.groupBy("row_id").agg(
         F.sum("m").alias("n"), F.count("*").alias("k"), F.sum("r").alias("sr"), F.sum(w * F.col("r")).alias("swr"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(F.col("m") * F.col("r") * F.col("r")).alias("srr"),
-        first(F.col("r")).alias("r1"), first(F.col("m")).alias("m1"), first(F.col("sim")).alias("s1"), F.avg("sim").alias("ms"), F.percentile("sim", F.lit(0.5)).alias("med"), F.min("sim").alias("mn"))
+        *(F.avg(f"r_{t}").alias(f"r_{t}") for t in TRAITS), F.avg(F.when(F.col("benchmark") == F.col("item_benchmark"), F.col("item_rate"))).alias("bench"), (F.max("age") - F.avg("item_age")).alias("fresh"),
+        F.avg(F.coalesce("n_subjects", F.lit(0))).alias("distinct"), F.max("cluster_rate").alias("cluster_rate"), first(F.col("r")).alias("r1"), first(F.col("m")).alias("m1"), first(F.col("sim")).alias("s1"), F.avg("sim").alias("ms"), F.percentile("sim", F.lit(0.5)).alias("med"), F.min("sim").alias("mn"))
     mean = F.when(n > 0, F.col("sr") / n).otherwise(fb)
     variance = F.col("srr") / n - F.pow(F.col("sr") / n, F.lit(2))  # below 1e-12: what rounding leaves of 0
     std = F.when(n > 0, F.when(variance > 1e-12, F.sqrt(variance)).otherwise(0.0)).otherwise(fb)
@@ -97,7 +120,9 @@ def nn_features(looked: DataFrame, fallback: float = 0.0) -> DataFrame:
         F.when(F.col("m1") == 1, F.col("r1")).otherwise(-1.0).alias("top1_label"), F.col("s1").alias("top1_similarity"), F.col("ms").alias("mean_similarity"), F.log1p(n).alias("n_labeled_neighbors_log1p"),
         F.when(F.col("sww") > 1e-9, F.col("sw") * F.col("sw") / F.col("sww")).otherwise(0.0).alias("effective_neighbor_count"), (F.col("s1") - F.col("ms")).alias("top1_minus_topk_similarity"),
         F.when(n > 0, std / F.sqrt(n)).otherwise(fb).alias("bootstrap_se_passrate"), F.when(n > 0, -(q * F.ln(q) + (1 - q) * F.ln(1 - q))).otherwise(0.0).alias("neighbor_label_entropy"),
-        F.when(F.col("m1") == 1, (F.col("r1") > 0.5).cast("double")).otherwise(fb).alias("top1_label_match"), F.when(span > 1e-9, (F.col("s1") - F.col("med")) / span).otherwise(0.0).alias("sim_distribution_skew"), F.col("mn").alias("distance_to_kth_neighbor"),
+        F.when(F.col("m1") == 1, (F.round("r1", 9) > 0.5).cast("double")).otherwise(fb).alias("top1_label_match"), F.when(span > 1e-9, (F.col("s1") - F.col("med")) / span).otherwise(0.0).alias("sim_distribution_skew"), F.col("mn").alias("distance_to_kth_neighbor"),
+        mean.alias("passrate_subject_conditional"), *(F.coalesce(f"r_{t}", fb).alias(f"passrate_{t}_conditional") for t in TRAITS), F.coalesce("bench", fb).alias("passrate_benchmark_conditional"), F.coalesce("fresh", fb).alias("neighbor_freshness_diff"),
+        (F.log1p("distinct") if context else fb).alias("n_distinct_subjects_in_neighborhood"), F.coalesce("cluster_rate", fb).alias("cluster_passrate_subject_query"),
     )
 
 
@@ -151,13 +176,42 @@ def alpha_tau_grid(rows: DataFrame, alphas: list[float], taus: list[float]) -> D
     return scored.crossJoin(first).select("alpha", "tau", "nll", (F.col("k") == F.col("first")).alias("best"))
 
 
-def nearest_on_axis(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """query, rank, item, gap: the k points nearest on one axis; at equal distance the higher one first. queries: query, x; points: item, d, by group `g` on both sides if they have it."""
-    keys = [c for c in ("g",) if c in queries.columns and c in points.columns]
-    near = queries.join(points, keys) if keys else queries.crossJoin(F.broadcast(points))
-    gap = F.round(F.abs(F.col("d") - F.col("x")), 9)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(gap, F.desc("d"), "item")).cast("long")
-    return near.select("query", "item", "d", gap.alias("gap"), rank.alias("rank")).filter(F.col("rank") <= k).select("query", "rank", "item", "gap")
+def nearest_on_axis(queries: DataFrame, points: DataFrame, k: int, size: int = 100_000) -> DataFrame:
+    """query, rank, item, gap: the k points nearest on one axis (gaps at 9 digits); at equal distance the higher one first, then the smaller item. queries: query, x; points: item, d.
+
+    Points are cut into ranges of about `size`; a range meets the queries within it, and gets the
+    k points on either side that are nearest to it. Of equal points only k can matter.
+    """
+    few = Window.partitionBy("d").orderBy("item")
+    points = points.select("item", F.col("d").cast("double").alias("d")).filter("d IS NOT NULL").withColumn("_r", F.row_number().over(few)).filter(F.col("_r") <= k).drop("_r")
+    queries = queries.select("query", F.col("x").cast("double").alias("x")).filter("x IS NOT NULL")
+    item, query = (df.schema[c].dataType.simpleString() for df, c in ((points, "item"), (queries, "query")))
+    ranges = max(1, points.count() // max(size, 8 * k))
+    edges = sorted(set(points.approxQuantile("d", [n / ranges for n in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    at = lambda c: F.size(F.filter(F.lit(edges) if edges else F.array().cast("array<double>"), lambda e: e <= c))
+    own = points.withColumn("p", at(F.col("d")))
+    reach = 2 * k
+    edge = own.withColumns({"a": F.dense_rank().over(Window.partitionBy("p").orderBy("d")), "b": F.dense_rank().over(Window.partitionBy("p").orderBy(F.desc("d")))})
+    shared = own.unionByName(edge.filter(F.col("a") <= k).select("item", "d", (F.col("p") - 1).alias("p"))).unionByName(edge.filter(F.col("b") <= k).select("item", "d", (F.col("p") + 1).alias("p")))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list] = {"query": [], "rank": [], "item": [], "gap": []}
+        b = b.sort_values(["d", "item"], kind="stable").reset_index(drop=True)
+        d, items = b.d.to_numpy(), b["item"].to_numpy()
+        for q, x in zip(a["query"], a.x, strict=True):
+            # at most k points have one value, so 2 * k on either side hold the nearest k with all their ties
+            n = int(np.searchsorted(d, x))
+            s = slice(max(0, n - reach), n + reach)
+            gap = np.round(np.abs(d[s] - x), 9)
+            best = sorted(zip(gap.tolist(), (-d[s]).tolist(), items[s].tolist(), strict=True))[:k]
+            out["query"] += [q] * len(best)
+            out["rank"] += range(1, len(best) + 1)
+            out["item"] += [t[2] for t in best]
+            out["gap"] += [t[0] for t in best]
+        return pd.DataFrame(out, dtype=object).astype({"rank": "int64", "gap": "float64"})
+
+    asked = queries.withColumn("p", at(F.col("x")))
+    return asked.groupBy("p").cogroup(shared.groupBy("p")).applyInPandas(run, f"query {query}, rank long, item {item}, gap double")
 
 
 def difficulty_knn(looked: DataFrame, tau: float = 0.05, least_n: int = 3, weight: float = 0.3) -> DataFrame:
@@ -184,6 +238,3 @@ def quantize(v: Column) -> dict[str, Column]:
     q = F.transform(v, lambda x: F.greatest(F.least(F.bround(x.cast("double") / scale), F.lit(127.0)), F.lit(-127.0)).cast("tinyint"))
     return {"q": q, "scale": scale}
 
-
-def logit_shift(p: Column, shift: Column) -> Column:
-    return sigmoid(logit(p) + shift)

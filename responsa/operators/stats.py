@@ -22,10 +22,10 @@ def shrunk(total: Column, n: Column, fallback: Column, m: float) -> Column:
 
 
 def prune(df: DataFrame, min_subject: int = 3, min_item: int = 1, subject: str = "subject_id", item: str = "item_id") -> DataFrame:
-    """Rows of subjects with enough rows; then, of those, of items with enough rows. One pass each, not until nothing changes."""
+    """Rows of subjects with enough rows; then, of those, of items with enough rows. One pass each, not until nothing changes; rows without a key go."""
     for key, least in ((subject, min_subject), (item, min_item)):
         if least > 1:
-            df = df.withColumn("_n", F.count("*").over(Window.partitionBy(key))).filter(F.col("_n") >= least).drop("_n")
+            df = df.join(df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(key), key, "left_semi")
     return df
 
 

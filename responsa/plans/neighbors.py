@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from responsa.functions import keys, normalize, text
 from responsa.operators import models, neighbors, quality, rounds, stats
 from responsa.plans.registry import query
 from responsa.plans.scalar import VARIANTS
-from responsa.plans.splits import BCE, CL, SCORED, scored
+from responsa.plans.splits import BCE, CL6, SCORED, scored
 from responsa.plans.stats import CLUSTERED, clusters
 from responsa.sources import adapter, files
 from responsa.streaming import subject_means
@@ -65,10 +66,10 @@ def centroid_features(spark, d):
     return r.groupBy("id").agg(*(F.max(F.when(F.col("rank") == k, F.col("d2"))).alias(f"d_{k}") for k in (1, 2)))
 
 
-@query("L05", f"SELECT vec_id, i, embedding[i]::double / {NORM.format('embeddings')} AS x FROM embeddings, (SELECT unnest([1, 17, 64]) AS i)", "x", 9, log=False)
+@query("L05", f"SELECT vec_id, i, embedding[i]::double / {NORM.format('embeddings')} AS x FROM embeddings, range(1, 65) r(i)", "x", 9, log=False)
 def normalised_vectors(spark, d):
     v = vectors(spark, d).withColumn("v", neighbors.normalise(F.col("v")))
-    return v.select(F.col("id").alias("vec_id"), F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.get("v", F.lit(i - 1)).alias("x")) for i in (1, 17, 64)))).alias("y")).select("vec_id", "y.*")
+    return v.select(F.col("id").alias("vec_id"), F.posexplode("v").alias("i", "x")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), "x")
 
 
 TOP = "list_max(list_transform(embedding, lambda x: abs(x::double)))"
@@ -83,14 +84,18 @@ def int8_quantized(spark, d):
 
 
 #: Rows of the log whose item is a vector, one for each (subject, vector): what neighbours' tables look up.
-CELLS = "n AS (SELECT count(*) AS n FROM embeddings), cells AS (SELECT subject_id, family, macro_family, organization, item_id::bigint % n AS item_no, avg(label) AS passrate, count(*) AS k FROM resp, n GROUP BY ALL), q AS (SELECT subject_id || ':' || item_no AS row_id, * FROM cells WHERE subject_id::bigint % 5 = 0)"
+CELLS = "n AS (SELECT count(*) AS n FROM embeddings), cells AS (SELECT subject_id, family, macro_family, organization, item_id::bigint % n AS item_no, avg(label) AS passrate, sum(label) AS total, count(*) AS k FROM resp, n GROUP BY ALL), q AS (SELECT subject_id || ':' || item_no AS row_id, * FROM cells)"
 
 
-def cells(spark, d):
+def numbered(spark, d):
+    """The log with item_no, the vector that an item has."""
     n = adapter.table(spark, d, "embeddings").agg(F.count("*").alias("n"))
-    item = F.col("item_id").cast("long") % F.col("n")
-    c = adapter.keyed(spark, d).crossJoin(F.broadcast(n)).groupBy("subject_id", "family", "macro_family", "organization", item.alias("item_no")).agg(F.avg("label").alias("passrate"), F.count("*").alias("k"))
-    return c, c.filter(F.col("subject_id").cast("long") % 5 == 0).withColumn("row_id", F.concat_ws(":", "subject_id", "item_no"))
+    return adapter.keyed(spark, d).crossJoin(F.broadcast(n)).withColumn("item_no", F.col("item_id").cast("long") % F.col("n"))
+
+
+def cells(spark, d):
+    c = numbered(spark, d).groupBy("subject_id", "family", "macro_family", "organization", "item_no").agg(F.avg("label").alias("passrate"), F.sum("label").alias("total"), F.count("*").alias("k"))
+    return c, c.withColumn("row_id", F.concat_ws(":", "subject_id", "item_no"))
 
 
 LOOK = f", {CELLS}, {NEAR}, looked AS (SELECT row_id, q.subject_id, rank, item, sim, coalesce(c.passrate, 0) AS r, (c.passrate IS NOT NULL)::int AS m FROM q JOIN near ON q.item_no = query LEFT JOIN cells c ON c.subject_id = q.subject_id AND c.item_no = item)"
@@ -106,15 +111,31 @@ def neighbor_lookups(spark, d):
     return looked(spark, d)
 
 
-CELL_NAMES = "passrate_mean passrate_weighted_mean passrate_std coverage top1_label top1_similarity mean_similarity n_labeled_neighbors_log1p effective_neighbor_count top1_minus_topk_similarity bootstrap_se_passrate neighbor_label_entropy top1_label_match sim_distribution_skew distance_to_kth_neighbor"
+CELL_NAMES = "passrate_mean passrate_weighted_mean passrate_std coverage top1_label top1_similarity mean_similarity n_labeled_neighbors_log1p effective_neighbor_count top1_minus_topk_similarity bootstrap_se_passrate neighbor_label_entropy top1_label_match sim_distribution_skew distance_to_kth_neighbor passrate_subject_conditional passrate_family_conditional passrate_macro_family_conditional passrate_organization_conditional passrate_benchmark_conditional neighbor_freshness_diff n_distinct_subjects_in_neighborhood cluster_passrate_subject_query"
 
 
 @query("N01 N03", LOOK + """, w AS (SELECT *, greatest(sim * m, 0) AS w FROM looked), a AS (SELECT row_id, sum(m) AS n, count(*) AS k, sum(r) AS sr, sum(w * r) AS swr, sum(w) AS sw, sum(w * w) AS sww, sum(m * r * r) AS srr, max(r) FILTER (rank = 1) AS r1, max(m) FILTER (rank = 1) AS m1, max(sim) FILTER (rank = 1) AS s1, avg(sim) AS ms, quantile_cont(sim, 0.5) AS med, min(sim) AS mn FROM w GROUP BY 1),
-  b AS (SELECT *, CASE WHEN n > 0 THEN sr / n ELSE 0 END AS mean, CASE WHEN n > 0 THEN CASE WHEN srr / n - (sr / n) ** 2 > 1e-12 THEN sqrt(srr / n - (sr / n) ** 2) ELSE 0 END ELSE 0 END AS sd FROM a), c AS (SELECT *, least(greatest(mean, 1e-7), 1 - 1e-7) AS e FROM b)
+  b AS (SELECT *, CASE WHEN n > 0 THEN sr / n ELSE 0 END AS mean, CASE WHEN n > 0 THEN CASE WHEN srr / n - (sr / n) ** 2 > 1e-12 THEN sqrt(srr / n - (sr / n) ** 2) ELSE 0 END ELSE 0 END AS sd FROM a), c AS (SELECT *, least(greatest(mean, 1e-7), 1 - 1e-7) AS e FROM b),
+  ib AS (SELECT item_id::bigint % n AS item_no, min(benchmark) AS item_benchmark, avg(label) AS item_rate, count(DISTINCT subject_id) AS n_subjects FROM resp, n GROUP BY 1), ages AS (SELECT p_brand AS b, avg(p_size) AS age FROM part GROUP BY 1),
+  tf AS (SELECT family AS trait, item_no, sum(total) / sum(k) AS r FROM cells GROUP BY 1, 2), tm AS (SELECT macro_family AS trait, item_no, sum(total) / sum(k) AS r FROM cells GROUP BY 1, 2), tg AS (SELECT organization AS trait, item_no, sum(total) / sum(k) AS r FROM cells GROUP BY 1, 2),
+  cr AS (SELECT subject_id, e.label AS cl, sum(total) / sum(k) AS cluster_rate FROM cells JOIN embeddings e ON vec_id = item_no GROUP BY 1, 2),
+  q2 AS (SELECT q.*, item_benchmark AS benchmark, age, cluster_rate FROM q JOIN ib USING (item_no) LEFT JOIN ages ON b = item_benchmark JOIN embeddings e ON vec_id = item_no LEFT JOIN cr ON cr.subject_id = q.subject_id AND cl = e.label),
+  ctx AS (SELECT q2.row_id, coalesce(avg(tf.r), 0) AS fam, coalesce(avg(tm.r), 0) AS mac, coalesce(avg(tg.r), 0) AS org, coalesce(avg(CASE WHEN i2.item_benchmark = q2.benchmark THEN i2.item_rate END), 0) AS bench, coalesce(any_value(q2.age) - avg(a2.age), 0) AS fresh, ln(1 + avg(coalesce(i2.n_subjects, 0))) AS dist, coalesce(any_value(q2.cluster_rate), 0) AS cr
+    FROM q2 JOIN near ON q2.item_no = query LEFT JOIN tf ON tf.trait = q2.family AND tf.item_no = item LEFT JOIN tm ON tm.trait = q2.macro_family AND tm.item_no = item LEFT JOIN tg ON tg.trait = q2.organization AND tg.item_no = item LEFT JOIN ib i2 ON i2.item_no = item LEFT JOIN ages a2 ON a2.b = i2.item_benchmark GROUP BY 1)
   SELECT row_id, mean AS passrate_mean, CASE WHEN sw > 1e-9 THEN swr / sw ELSE mean END AS passrate_weighted_mean, sd AS passrate_std, n / k AS coverage, CASE WHEN m1 = 1 THEN r1 ELSE -1 END AS top1_label, s1 AS top1_similarity, ms AS mean_similarity, ln(1 + n) AS n_labeled_neighbors_log1p, CASE WHEN sww > 1e-9 THEN sw * sw / sww ELSE 0 END AS effective_neighbor_count, s1 - ms AS top1_minus_topk_similarity,
-    CASE WHEN n > 0 THEN sd / sqrt(n) ELSE 0 END AS bootstrap_se_passrate, CASE WHEN n > 0 THEN -(e * ln(e) + (1 - e) * ln(1 - e)) ELSE 0 END AS neighbor_label_entropy, CASE WHEN m1 = 1 THEN (r1 > 0.5)::int ELSE 0 END AS top1_label_match, CASE WHEN s1 - mn > 1e-9 THEN (s1 - med) / (s1 - mn) ELSE 0 END AS sim_distribution_skew, mn AS distance_to_kth_neighbor FROM c""", CELL_NAMES, 8)
+    CASE WHEN n > 0 THEN sd / sqrt(n) ELSE 0 END AS bootstrap_se_passrate, CASE WHEN n > 0 THEN -(e * ln(e) + (1 - e) * ln(1 - e)) ELSE 0 END AS neighbor_label_entropy, CASE WHEN m1 = 1 THEN (round(r1, 9) > 0.5)::int ELSE 0 END AS top1_label_match, CASE WHEN s1 - mn > 1e-9 THEN (s1 - med) / (s1 - mn) ELSE 0 END AS sim_distribution_skew, mn AS distance_to_kth_neighbor,
+    mean AS passrate_subject_conditional, fam AS passrate_family_conditional, mac AS passrate_macro_family_conditional, org AS passrate_organization_conditional, bench AS passrate_benchmark_conditional, fresh AS neighbor_freshness_diff, dist AS n_distinct_subjects_in_neighborhood, cr AS cluster_passrate_subject_query FROM c JOIN ctx USING (row_id)""", CELL_NAMES, 8)
 def nn_features(spark, d):
-    return neighbors.nn_features(looked(spark, d))
+    c, q = cells(spark, d)
+    ages = adapter.table(spark, d, "part").groupBy(F.col("p_brand").alias("item_benchmark")).agg(F.avg("p_size").alias("item_age"))
+    items = numbered(spark, d).groupBy("item_no").agg(F.min("benchmark").alias("item_benchmark"), F.avg("label").alias("item_rate"), F.countDistinct("subject_id").alias("n_subjects")).join(ages, "item_benchmark", "left")
+    lab = adapter.table(spark, d, "embeddings").select(F.col("vec_id").alias("item_no"), F.col("label").alias("cluster"))
+    rate = (F.sum("total") / F.sum("k")).alias("passrate")
+    own = c.join(lab, "item_no").groupBy("subject_id", "cluster").agg(rate).withColumnRenamed("passrate", "cluster_rate")
+    rows = q.join(items.select("item_no", F.col("item_benchmark").alias("benchmark"), F.col("item_age").alias("age")), "item_no").join(lab, "item_no").join(own, ["subject_id", "cluster"], "left")
+    rates = {t: c.filter(F.col(t).isNotNull()).groupBy(F.col(t).alias("trait"), "item_no").agg(rate) for t in neighbors.TRAITS}
+    looked = neighbors.lookups(rows, near(spark, d), c.select("subject_id", "item_no", "passrate"), *neighbors.TRAITS, "benchmark", "age", "cluster_rate")
+    return neighbors.nn_features(neighbors.in_context(looked, rates, items))
 
 
 @query("N02 J18", LOOK + ", t AS (SELECT macro_family AS trait, item_no, avg(passrate) AS r FROM cells GROUP BY 1, 2) SELECT row_id, coalesce(avg(r), 0) AS macro_conditional FROM q JOIN near ON item_no = query LEFT JOIN t ON t.trait = macro_family AND t.item_no = item GROUP BY 1", "macro_conditional", 9)
@@ -153,25 +174,27 @@ def alpha_tau_grid(spark, d):
     return neighbors.alpha_tau_grid(residual_sums(spark, d), [0.0, 0.25, 0.5, 0.75, 1.0], [0.0, 1.0, 5.0]).select("alpha", "tau", "nll")
 
 
-@query("J15", "WITH p AS (SELECT p_partkey AS id, round(p_retailprice / 10, 1) AS x FROM part) SELECT query, rank, item, gap FROM (SELECT q.id AS query, p.id AS item, round(abs(p.x - q.x), 9) AS gap, row_number() OVER (PARTITION BY q.id ORDER BY round(abs(p.x - q.x), 9), p.x DESC, p.id) AS rank FROM p q JOIN p ON true WHERE q.id % 20 = 0 AND p.id % 3 = 0) WHERE rank <= 8", "gap", log=False)
+@query("J15", "WITH p AS (SELECT p_partkey AS id, round(p_retailprice / 10, 1) AS x FROM part) SELECT query, rank, item, gap FROM (SELECT q.id AS query, p.id AS item, round(abs(p.x - q.x), 9) AS gap, row_number() OVER (PARTITION BY q.id ORDER BY round(abs(p.x - q.x), 9), p.x DESC, p.id) AS rank FROM p q JOIN p ON true) WHERE rank <= 8", "gap", log=False)
 def nearest_on_axis(spark, d):
     p = adapter.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(F.col("p_retailprice") / 10, 1).alias("x"))
-    return neighbors.nearest_on_axis(p.filter("id % 20 = 0").select(F.col("id").alias("query"), "x"), p.filter("id % 3 = 0").select(F.col("id").alias("item"), F.col("x").alias("d")), 8)
+    return neighbors.nearest_on_axis(p.select(F.col("id").alias("query"), "x"), p.select(F.col("id").alias("item"), F.col("x").alias("d")), 8)
 
 
 @query("N09", """, ax AS (SELECT item_id, p_size / 50.0 AS x FROM it JOIN part ON p_partkey::varchar = item_id), im AS (SELECT item_id, avg(label) AS item_mean, count(*) AS item_n FROM resp GROUP BY 1), sm AS (SELECT subject_id, avg(label) AS subject_mean FROM resp GROUP BY 1), pr AS (SELECT subject_id, item_id, avg(label) AS r FROM resp GROUP BY 1, 2),
-  nn AS (SELECT query, item, gap FROM (SELECT q.item_id AS query, p.item_id AS item, round(abs(p.x - q.x), 9) AS gap, row_number() OVER (PARTITION BY q.item_id ORDER BY round(abs(p.x - q.x), 9), p.x DESC, p.item_id) AS rank FROM ax q, ax p WHERE q.item_id::bigint % 50 = 0 AND p.item_id::bigint % 4 = 1) WHERE rank <= 16),
-  j AS (SELECT query, s.subject_id, gap, r, item_mean, item_n, subject_mean, exp(-gap / 0.05) AS k FROM nn CROSS JOIN (SELECT * FROM sm WHERE subject_id::bigint % 4 = 0) s LEFT JOIN pr ON pr.subject_id = s.subject_id AND pr.item_id = item LEFT JOIN im ON im.item_id = item),
+  nn AS (SELECT query, item, gap FROM (SELECT q.item_id AS query, p.item_id AS item, round(abs(p.x - q.x), 9) AS gap, row_number() OVER (PARTITION BY q.item_id ORDER BY round(abs(p.x - q.x), 9), p.x DESC, p.item_id) AS rank FROM ax q, ax p) WHERE rank <= 16),
+  j AS (SELECT query, subject_id, gap, r, item_mean, item_n, subject_mean, exp(-gap / 0.05) AS k FROM nn JOIN (SELECT DISTINCT subject_id, item_id AS query FROM pr) USING (query) JOIN sm s USING (subject_id) LEFT JOIN pr ON pr.subject_id = s.subject_id AND pr.item_id = item LEFT JOIN im ON im.item_id = item),
   w AS (SELECT *, CASE WHEN r IS NOT NULL THEN k WHEN item_n >= 3 THEN 0.3 * k ELSE 0 END AS w FROM j)
   SELECT query, subject_id, least(greatest(CASE WHEN sum(w) > 1e-9 THEN sum(w * coalesce(r, item_mean, 0)) / sum(w) ELSE any_value(subject_mean) END, 1e-6), 1 - 1e-6) AS p FROM w GROUP BY 1, 2""", "p", 7)
 def difficulty_knn(spark, d):
     df = adapter.keyed(spark, d)
     ax = adapter.table(spark, d, "part").select(F.col("p_partkey").alias("n"), F.col("p_partkey").cast("string").alias("item"), (F.col("p_size") / 50.0).alias("d"))
-    nn = neighbors.nearest_on_axis(ax.filter("n % 50 = 0").select(F.col("item").alias("query"), F.col("d").alias("x")), ax.filter("n % 4 = 1").select("item", "d"), 16)
+    nn = neighbors.nearest_on_axis(ax.select(F.col("item").alias("query"), F.col("d").alias("x")), ax.select("item", "d"), 16)
     im = df.groupBy(F.col("item_id").alias("item")).agg(F.avg("label").alias("item_mean"), F.count("*").alias("item_n"))
-    sm = df.groupBy("subject_id").agg(F.avg("label").alias("subject_mean")).filter(F.col("subject_id").cast("long") % 4 == 0)
+    sm = df.groupBy("subject_id").agg(F.avg("label").alias("subject_mean"))
     pr = stats.passrates(df).select("subject_id", F.col("item_id").alias("item"), F.col("passrate").alias("r"))
-    j = nn.crossJoin(F.broadcast(sm)).join(pr, ["subject_id", "item"], "left").join(im, "item", "left").crossJoin(df.agg(F.avg("label").alias("g")))
+    # each cell of the log is scored
+    rows = pr.select("subject_id", F.col("item").alias("query")).join(sm, "subject_id")
+    j = rows.join(nn, "query").join(pr, ["subject_id", "item"], "left").join(im, "item", "left").crossJoin(df.agg(F.avg("label").alias("g")))
     return neighbors.difficulty_knn(j)
 
 
@@ -209,9 +232,9 @@ def irt_logits(spark, d):
     return factors(spark, d).select("row_id", models.irt_logit(*args).alias("irt"), models.irt_logit(*args, 0.7, x["u"], x["v"]).alias("hybrid"), models.softplus(x["a"] - x["d"]).alias("alpha"), neighbors.dot(x["u"], x["v"]).alias("mirt"))
 
 
-@query("T02", f", {SCORED} SELECT row_id, 1 / (1 + exp(-(ln({CL('p')} / (1 - {CL('p')})) + trial / 10.0))) AS p FROM p WHERE p > 0.01 AND p < 0.99", "p")
+@query("T02", f", {SCORED} SELECT row_id, 1 / (1 + exp(-(ln({CL6} / (1 - {CL6})) + trial / 10.0))) AS p FROM p", "p")
 def residual_probabilities(spark, d):
-    return scored(spark, d).filter("p > 0.01 AND p < 0.99").select("row_id", models.residual_probability(F.col("p"), F.col("trial") / 10.0).alias("p"))
+    return scored(spark, d).select("row_id", models.residual_probability(F.col("p"), F.col("trial") / 10.0).alias("p"))
 
 
 #: Two small trees, for the query only.
@@ -276,12 +299,14 @@ def normalised_answers(spark, d):
     return a.select("conv_id", "turn", parsed.alias("answer"), text.answer_type(parsed).alias("kind"), text.step_count(F.col("text")).cast("long").alias("steps"))
 
 
-@query("S11 S12", "SELECT conv_id, to_json(list(left(text, 20) ORDER BY turn))::varchar AS samples, count(*) AS n FROM conversations WHERE role = 'assistant' AND regexp_full_match(left(text, 20), '[A-Za-z0-9 .,]*') GROUP BY 1", log=False)
+@query("S11 S12", "SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest, count(*) AS n, min(length(text)) AS shortest FROM conversations WHERE role = 'assistant' GROUP BY 1", log=False)
 def sample_cache(spark, d):
-    a = adapter.table(spark, d, "conversations").filter("role = 'assistant'").filter(F.left("text", F.lit(20)).rlike(r"\A[A-Za-z0-9 .,]*\z"))
-    s = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.left("text", F.lit(20)).alias("t")))), lambda x: x["t"])
+    """Whole answers go into the cache as JSON and come back; what comes back is digested and counted."""
+    a = adapter.table(spark, d, "conversations").filter("role = 'assistant'")
+    s = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     stored = a.groupBy("conv_id").agg(files.samples_to_json(s).alias("samples"))
-    return stored.withColumn("n", F.size(files.samples_from_json(F.col("samples"))).cast("long"))
+    back = stored.withColumn("s", files.samples_from_json(F.col("samples")))
+    return back.select("conv_id", F.md5(F.array_join("s", "\n").cast("binary")).alias("digest"), F.size("s").cast("long").alias("n"), F.array_min(F.transform("s", F.length)).cast("long").alias("shortest"))
 
 
 @query("S10 J04", "SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1", "value", log=False)
@@ -300,7 +325,7 @@ def windowed_passrates(spark, d):
 @query("A03 A11", STREAMED, "total", log=False)
 def streamed_passrates(spark, d):
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    name = f"streamed_{abs(hash(d)) % 10**8}"
+    name = f"streamed_{zlib.crc32(d.encode())}"
     # a file source takes folders or patterns; the pattern names the one table
     subject_means.run_available(subject_means.windowed(subject_means.stream(spark, f"{d}/event[s].parquet")), name, f"{folder}/{name}-{spark.sparkContext.startTime}-{id(object())}")
     return spark.table(name)

@@ -155,7 +155,7 @@ def item_interactions(spark, d):
     return rows.select("doc_id", "is_cot", *text.TYPES, *(c.alias(n) for n, c in text.cot_interactions(F.col("is_cot"), rows.columns).items()))
 
 
-@query("P42 P41", "SELECT sha256(string_agg(h, '' ORDER BY h)) AS content_hash, count(*) AS n FROM (SELECT DISTINCT sha256(item_id || chr(0) || item_content || chr(0)) AS h FROM it)")
+@query("P42 P41", "SELECT sha256(string_agg(b, '' ORDER BY p)) AS content_hash, sum(n)::bigint AS n FROM (SELECT substr(h, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS b, count(*) AS n FROM (SELECT DISTINCT sha256(item_id || chr(0) || item_content || chr(0)) AS h FROM it) GROUP BY 1)")
 def content_hash(spark, d):
     h = adapter.items(spark, d).select(keys.sha256_key(F.col("item_id"), F.col("item_content")).alias("h")).distinct()
-    return h.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary"), 256).alias("content_hash"), F.count("*").alias("n"))
+    return keys.order_free_hash(h, "h")

@@ -154,12 +154,12 @@ def field_coverage(spark, d):
     return stats.coverage(adapter.responses(spark, d), ["display_name", "organization", "test_condition"])
 
 
-#: Sampled answers: what assistants say, reduced to a first word; every ninth a refusal.
-ANSWERS = "(SELECT conv_id // 3 AS item, CASE WHEN (conv_id * 7 + turn) % 9 = 0 THEN '<none>' ELSE substr(text, 1, 1) END AS answer FROM conversations WHERE role = 'assistant')"
+#: Sampled answers: what assistants say, in lower case; every ninth a refusal.
+ANSWERS = "(SELECT conv_id // 3 AS item, CASE WHEN (conv_id * 7 + turn) % 9 = 0 THEN '<none>' ELSE lower(text) END AS answer FROM conversations WHERE role = 'assistant')"
 
 
 def answers(spark, d):
-    a = F.when((F.col("conv_id") * 7 + F.col("turn")) % 9 == 0, "<none>").otherwise(F.substring("text", 1, 1))
+    a = F.when((F.col("conv_id") * 7 + F.col("turn")) % 9 == 0, "<none>").otherwise(F.lower("text"))
     return adapter.table(spark, d, "conversations").filter("role = 'assistant'").select(F.floor(F.col("conv_id") / 3).alias("item"), a.alias("answer"))
 
 
@@ -170,10 +170,10 @@ def vote_stats(spark, d):
     return stats.vote_stats(answers(spark, d))
 
 
-@query("A24", f"SELECT item, arg_max(answer, (k, -ascii(answer))) AS modal, CASE WHEN sum(k) < 2 THEN NULL ELSE 1 - max(k) / sum(k) END AS disagreement FROM (SELECT item, answer, count(*) AS k FROM {ANSWERS} WHERE answer <> '<none>' GROUP BY 1, 2) GROUP BY 1", "disagreement", log=False)
+@query("A24", f"SELECT item, min(answer) FILTER (k = top) AS modal, CASE WHEN sum(k) < 2 THEN NULL ELSE 1 - max(k) / sum(k) END AS disagreement FROM (SELECT *, max(k) OVER (PARTITION BY item) AS top FROM (SELECT item, answer, count(*) AS k FROM {ANSWERS} WHERE answer <> '<none>' GROUP BY 1, 2)) GROUP BY 1", "disagreement", log=False)
 def modal_answers(spark, d):
     k = answers(spark, d).filter("answer <> '<none>'").groupBy("item", "answer").agg(F.count("*").alias("k"))
-    return k.groupBy("item").agg(F.max_by("answer", F.struct("k", -F.ascii("answer"))).alias("modal"), F.when(F.sum("k") >= 2, 1 - F.max("k") / F.sum("k")).alias("disagreement"))
+    return k.groupBy("item").agg(F.min_by("answer", F.struct(-F.col("k"), "answer")).alias("modal"), F.when(F.sum("k") >= 2, 1 - F.max("k") / F.sum("k")).alias("disagreement"))
 
 
 @query("A26", "SELECT quantile_cont(x, 0.5) AS median, avg(ln(1 + x)) AS mean, CASE WHEN stddev_pop(ln(1 + x)) = 0 THEN 1 ELSE stddev_pop(ln(1 + x)) END AS std, count(*) - count(x) AS n_missing FROM (SELECT CASE WHEN p_size % 6 = 0 THEN NULL ELSE p_retailprice END AS x FROM part)", "median mean std", log=False)
@@ -251,18 +251,18 @@ def quality_checks(spark, d):
     return quality.log_checks(adapter.keyed(spark, d))
 
 
-@query("J16", "SELECT item, avg(v) AS mean FROM (SELECT p_partkey AS item, CASE WHEN p_size > 10 THEN p_size END AS v FROM part UNION ALL SELECT l_partkey, avg(l_quantity) FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1) GROUP BY 1", "mean", log=False)
+@query("J16", "SELECT item, avg(v) AS mean FROM (SELECT p_partkey AS item, CASE WHEN p_size > 10 THEN p_size END AS v FROM part UNION ALL SELECT l_partkey, avg(l_quantity) FROM lineitem GROUP BY 1) GROUP BY 1", "mean", log=False)
 def outer_merge_means(spark, d):
     a = adapter.table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.when(F.col("p_size") > 10, F.col("p_size")).alias("a"))
-    b = adapter.table(spark, d, "lineitem").filter("l_suppkey % 3 = 0").groupBy(F.col("l_partkey").alias("item")).agg(F.avg("l_quantity").alias("b"))
+    b = adapter.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg(F.avg("l_quantity").alias("b"))
     x = a.join(b, "item", "full")
     both = F.array_compact(F.array(F.col("a").cast("double"), "b"))
     return x.select("item", F.when(F.size(both) > 0, F.aggregate(both, F.lit(0.0), lambda s, v: s + v) / F.size(both)).alias("mean"))
 
 
-@query("J05 J06 U07", "SELECT row_id, coalesce(v, 0) AS judge FROM resp LEFT JOIN (SELECT p_partkey::varchar AS item_id, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size / 50.0 END AS v FROM part WHERE p_size % 3 > 0) USING (item_id)", "judge")
+@query("J05 J06 U07", "SELECT row_id, coalesce(v, 0) AS judge FROM resp LEFT JOIN (SELECT p_partkey::varchar AS item_id, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size / 50.0 END AS v FROM part) USING (item_id)", "judge")
 def judge_features(spark, d):
-    cache = adapter.table(spark, d, "part").filter("p_size % 3 > 0").select(F.col("p_partkey").cast("string").alias("item_id"), F.when(F.col("p_size") % 4 == 0, float("nan")).otherwise(F.col("p_size") / 50.0).alias("v"))
+    cache = adapter.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item_id"), F.when(F.col("p_size") % 4 == 0, float("nan")).otherwise(F.col("p_size") / 50.0).alias("v"))
     return adapter.responses(spark, d).join(cache, "item_id", "left").select("row_id", F.coalesce(F.nanvl("v", F.lit(0.0)), F.lit(0.0)).alias("judge"))
 
 
