@@ -27,7 +27,7 @@ from pyspark.sql import Window
 
 from .common import cut, table
 
-K, PIVOTS, PREFIX, BLOCK, CHUNK, SHARE = 20, 256, 64, 16_384, 1_024, 0.3
+K, PIVOTS, PREFIX, BLOCK, CHUNK, SHARE = 20, 256, 64, 16_384, 4_096, 0.3
 
 
 def clean(df: DataFrame, key: str, vector: str) -> DataFrame:

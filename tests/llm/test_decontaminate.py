@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -51,10 +52,29 @@ def test_find_is_brute_force(spark, make):
 def test_proximity(spark):
     docs = spark.createDataFrame([(0, "red blue then green"), (1, "green red and the blue"), (2, "red one two three four five six blue green")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "red blue green")], "item_id long, text string")
-    wins = decontaminate.rarest(decontaminate.windows(bench), docs)
-    stored = decontaminate.index(docs, wins.select("term"), near=5).cache()
-    got = {r.doc_id for r in decontaminate.matches(stored, wins, near=5).join(stored.select("row", "doc_id"), "row").collect()}
-    assert got == {0, 1}
+    assert {r.doc_id: r.n_near for r in decontaminate.find(docs, bench, near=5).collect()} == {0: 1, 1: 1, 2: 0}
+
+
+def test_proximity_is_brute_force(spark):
+    r = random.Random(1)
+    few = [f"w{i}" for i in range(30)]
+    items = [(k, " ".join(r.choice(few) for _ in range(n))) for k, n in enumerate((3, 4, 12, 10, 2, 1, 5))]
+    docs = [(i, " ".join(r.choice(few) for _ in range(r.choice((0, 3, 19, 20, 21, 60, 150))))) for i in range(60)]
+    want = {}
+    for i, t in docs:
+        w = t.split()
+        spans = [set(w[s : s + 20]) for s in range(max(1, len(w) - 19))]
+        want[i] = len({k for k, x in items for j in range(max(1, len(x.split()) - 9)) if len(x.split()) > 1 and any(set(x.split()[j : j + 10]) <= s for s in spans)})
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_near for r in got} == want and any(want.values())
+
+
+def test_items_and_rows_without_id(spark, make):
+    docs = spark.createDataFrame([(None, make(1, 40)), (None, make(2, 40)), (3, "quite clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, make(1, 12)), (5, make(1, 11))], "item_id long, text string")
+    got = sorted((r.n_hit, r.n_items, r.contaminated) for r in decontaminate.find(docs, bench).collect())
+    assert got == [(0, 0, False), (0, 0, False), (12, 1, True)]
+    assert sorted(r.text for r in decontaminate.keep_clean(docs, bench).collect()) == sorted([make(2, 40), "quite clean"])
 
 
 def test_sql_says_the_same(spark, make):
@@ -63,7 +83,7 @@ def test_sql_says_the_same(spark, make):
     for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
         con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
         con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
-    want = sorted(con.execute(f"SELECT doc_id, n_hit, items_sha256 FROM ({decontaminate.ORACLE})").fetchall())
+    want = sorted(con.execute(f"SELECT doc_id, n_hit, n_near, items_sha256 FROM ({decontaminate.ORACLE})").fetchall())
     df = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted((r.doc_id, r.n_hit, r.items_sha256) for r in df.select("doc_id", "n_hit", "items_sha256").collect()) == want
+    assert sorted((r.doc_id, r.n_hit, r.n_near, r.items_sha256) for r in df.collect()) == want
     assert df.filter(F.col("n_hit") == 14).count() == 12
