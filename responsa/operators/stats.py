@@ -78,28 +78,34 @@ def mean_encoded(df: DataFrame, m: float = 30.0) -> DataFrame:
 
     Marginals shrink to the global mean; cells to the cluster's, or to the benchmark-condition's, shrunk mean.
     """
-    g = df.agg(F.avg("label").alias("g"))
+    # every feature is a function of the three keys: they are made for cells, and rows join once
+    by = ["subject_id", "cluster", "bc"]
+    cells = df.groupBy(*by).agg(F.sum("label").alias("s"), F.count("label").alias("k"))
+    g = cells.agg((F.sum("s") / F.sum("k")).alias("g"))
+    sums = (F.sum("s").alias("s"), F.sum("k").alias("k"))
 
     def marginal(key: str, name: str) -> DataFrame:
-        t = df.groupBy(key).agg(F.sum("label").alias("s"), F.count("label").alias("k")).crossJoin(g)
+        t = cells.groupBy(key).agg(*sums).crossJoin(g)
         return t.select(key, shrunk(F.col("s"), F.col("k"), F.col("g"), m).alias(f"{name}_mean"), F.log1p("k").alias(f"{name}_log1p_n"))
 
     def cell(key: str, name: str, parent: DataFrame) -> DataFrame:
-        t = df.groupBy("subject_id", key).agg(F.sum("label").alias("s"), F.count("label").alias("k")).join(parent, key)
+        t = cells.groupBy("subject_id", key).agg(*sums).join(parent, key)
         up = {"sc": "cluster_mean", "sbc": "bc_mean"}[name]
         return t.select("subject_id", key, shrunk(F.col("s"), F.col("k"), F.col(up), m).alias(f"{name}_mean"), F.log1p("k").alias(f"{name}_log1p_n"))
 
     subj, cluster, bc = marginal("subject_id", "subj"), marginal("cluster", "cluster"), marginal("bc", "bc")
     sc, sbc = cell("cluster", "sc", cluster), cell("bc", "sbc", bc)
-    out = df.join(subj, "subject_id", "left").join(cluster, "cluster", "left").join(bc, "bc", "left").join(sc, ["subject_id", "cluster"], "left").join(sbc, ["subject_id", "bc"], "left").crossJoin(g)
+    out = cells.select(*by).join(subj, "subject_id", "left").join(cluster, "cluster", "left").join(bc, "bc", "left").join(sc, ["subject_id", "cluster"], "left").join(sbc, ["subject_id", "bc"], "left").crossJoin(g)
     own = F.coalesce("subj_mean", "g")
     scm, sbcm = F.coalesce("sc_mean", "cluster_mean", "g"), F.coalesce("sbc_mean", "bc_mean", "g")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return out.select(
-        "row_id", own.alias("subj_mean"), zero("subj_log1p_n").alias("subj_log1p_n"), F.coalesce("bc_mean", "g").alias("bc_mean"), zero("bc_log1p_n").alias("bc_log1p_n"), F.coalesce("cluster_mean", "g").alias("cluster_mean"), zero("cluster_log1p_n").alias("cluster_log1p_n"),
+    features = out.select(
+        *(F.col(c).alias(f"_{c}") for c in by), own.alias("subj_mean"), zero("subj_log1p_n").alias("subj_log1p_n"), F.coalesce("bc_mean", "g").alias("bc_mean"), zero("bc_log1p_n").alias("bc_log1p_n"), F.coalesce("cluster_mean", "g").alias("cluster_mean"), zero("cluster_log1p_n").alias("cluster_log1p_n"),
         sbcm.alias("sbc_mean"), zero("sbc_log1p_n").alias("sbc_log1p_n"), scm.alias("sc_mean"), zero("sc_log1p_n").alias("sc_log1p_n"), (scm - own).alias("sc_minus_subj"), (sbcm - own).alias("sbc_minus_subj"),
         (own - F.col("g")).alias("subj_dev"), (F.coalesce("bc_mean", "g") - F.col("g")).alias("bc_dev"), (F.coalesce("cluster_mean", "g") - F.col("g")).alias("cluster_dev"), F.col("g").alias("global_mean"),
     )
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return df.select("row_id", *by).join(features, same).drop(*by, *(f"_{c}" for c in by))
 
 
 def subject_means(df: DataFrame, m: float = 30.0) -> DataFrame:

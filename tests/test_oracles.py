@@ -6,10 +6,6 @@ from rows import same
 from responsa.plans import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, data, name):
-    df = QUERIES[name](spark, data)
-    if name in ORACLES:
-        assert not (diff := same(df, duck.execute(ORACLES[name]).fetchdf())), diff
-    else:
-        assert df.columns and df.count() >= 0
+    assert not (diff := same(QUERIES[name](spark, data), duck.execute(ORACLES[name]).fetchdf())), diff
