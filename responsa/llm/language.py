@@ -22,9 +22,6 @@ Empty table: no rows. Repeated rows and extra columns: each row is judged on its
 
 from __future__ import annotations
 
-import functools
-import re
-import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -32,25 +29,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, mix, sole, table, tidy
 
 ORDER, REACH, LONG, FEW_ROWS = 5, 2.0, 100, 30
+LETTERS = regex.compile(r"\p{L}+")
 BEGIN, END = "\x02", "\x03"
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.cache
-def letters() -> re.Pattern:
-    """Runs of letters, category L. The standard library's [^\\W\\d_] also has numbers that are no digits (½, Ⅷ); they are taken out."""
-    numbers = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-    return re.compile(rf"[^\W\d_{re.escape(numbers)}]+")
-
-
 def words(text: str | None) -> list[str]:
-    return letters().findall(text.lower()) if text else []
+    return LETTERS.findall(text.lower()) if text else []
 
 
 def count_words(df: DataFrame) -> DataFrame:
