@@ -12,16 +12,21 @@ permutations each row gets one more coordinate that lifts it to the largest norm
 
 Null, zero, or holding null or non-finite components: no part in it, as query or as row. Ties go to
 the smaller id. Fewer rows than k: all of them. Empty table: no rows. An id that repeats
-is one candidate for each of its rows, but never its own neighbour. Vectors whose size isn't that
-of most rows have no part either.
+is one candidate for each of its rows, but never its own neighbour. Vectors of different sizes
+have no inner product: each size is searched by itself, and sizes are few. Long vectors are
+taken whole; other columns, whatever their names, are not read.
+
+A chunk meets every block, so work and shuffle grow with queries times rows: the query set is a
+fixed share of the rows. Larger blocks and chunks lower the shuffle, smaller ones the memory.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -89,12 +94,15 @@ def search(left: pd.DataFrame, right: pd.DataFrame, pivots: np.ndarray, top_norm
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """rows, queries: id, v, norm2 as of clean(). query_id, rank, vec_id, score."""
-    spark = rows.sparkSession
-    schema = "query_id long, rank int, vec_id long, score double"
-    size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max("norm2").alias("top")).orderBy(F.desc("n"), "d").first()
-    if size is None:
-        return spark.createDataFrame([], schema)
-    rows, queries = rows.filter(F.size("v") == size.d), queries.filter(F.size("v") == size.d)
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max("norm2").alias("top")).orderBy("d").collect()
+    if not sizes:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    of = lambda df, s: df.filter(F.size("v") == s.d)
+    return reduce(DataFrame.unionByName, (_nearest(of(rows, s), of(queries, s), s, k, pivots, prefix, share, block, chunk) for s in sizes))
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, size: Row, k: int, pivots: int, prefix: int, share: float, block: int, chunk: int) -> DataFrame:
+    """nearest() for vectors of one size (d, n rows, the largest norm2)."""
     asked = queries.count()
     picked = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
     p = np.array([[*r.v, np.sqrt(max(size.top - r.norm2, 0))] for r in picked])

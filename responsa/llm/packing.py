@@ -12,7 +12,8 @@
    come from counts of hashed subgroups, so that no length is ordered in one task.
 
 Null text: as empty, so one piece holding the end id alone. Empty table: no rows. Repeated
-rows are packed each on its own. Ties among equal pieces go by (doc_id, piece).
+rows are packed each on its own. Very long texts are encoded whole and cut into pieces. Ties among
+equal pieces go by (doc_id, piece, start, ids). Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

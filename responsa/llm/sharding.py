@@ -7,6 +7,8 @@ adding or losing a shard moves few slots. A key's slot is its hash modulo the pr
 table, at most MOST_SLOTS rows, is broadcast, so a placement is one lookup.
 
 Null key: slot of the empty string. Repeated keys: the same shard each. Empty table: no rows.
+Very long keys are hashed whole. A column of the caller's that is named as a new one stays, and
+the new one gets an underscore. Ties don't arise: a slot is claimed once.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 SHARDS, SLOTS, MOST_SLOTS = 256, 65_537, 5_000_011
 
@@ -50,15 +52,23 @@ def lookup(spark: SparkSession, shards: list[str], slots: int = SLOTS) -> DataFr
 
 
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """df with slot, shard_no and shard; columns of these names in df are replaced."""
-    found = F.broadcast(lookup(df.sparkSession, shards, slots))  # at most MOST_SLOTS rows
-    return df.drop("shard_no", "shard").withColumn("slot", slot(F.col(key), slots)).join(found, "slot", "left")
+    """df with slot, shard_no and shard (see added())."""
+    at, no, name = added(df)
+    found = F.broadcast(lookup(df.sparkSession, shards, slots).toDF(at, no, name))  # at most MOST_SLOTS rows
+    return df.withColumn(at, slot(F.col(key), slots)).join(found, at, "left").select(*df.columns, at, no, name)
+
+
+def added(df: DataFrame) -> list[str]:
+    """The names of the columns that place() adds."""
+    return [fresh(df, c) for c in ("slot", "shard_no", "shard")]
 
 
 def write(df: DataFrame, key: str, shards: list[str], path: str, slots: int = SLOTS, files: int = 1) -> None:
     """One folder for each shard, of `files` files each."""
-    placed = place(df, key, shards, slots).withColumn("part", F.pmod(F.xxhash64(F.col(key)), F.lit(files)))
-    placed.repartition(len(shards) * files, "shard", "part").drop("slot", "shard_no", "part").write.partitionBy("shard").parquet(path)
+    at, no, name = added(df)
+    part = fresh(df, "part")
+    placed = place(df, key, shards, slots).withColumn(part, F.pmod(F.xxhash64(F.col(key)), F.lit(files)))
+    placed.repartition(len(shards) * files, name, part).drop(at, no, part).write.partitionBy(name).parquet(path)
 
 
 def names(n: int = SHARDS) -> list[str]:

@@ -3,7 +3,9 @@
 A limit between two lengths that occur answers as the next lower one does, but for its
 truncated total, which is tokens_le + limit * docs_gt of that row. The suffix sums go by
 blocks of lengths: sums within a block, plus the totals of the blocks above; no task
-gets all lengths. Null text: length 0. Empty table: no rows. Repeated rows count each.
+gets all lengths. Null or empty text: length 0. Very long texts are encoded whole. Empty table: no
+rows. Repeated rows count each; documents of one length share a row, so ties don't arise. Columns
+besides text, whatever their names, are not read.
 """
 
 from __future__ import annotations

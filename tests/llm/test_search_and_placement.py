@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from responsa.llm import neighbours, sharding, url_filter
 
 
@@ -41,7 +43,9 @@ def test_placement(spark, tmp_path):
     assert len(rows) == 502
     for r in rows:
         key = "" if r.doc_id is None else str(r.doc_id)
-        assert r.slot == int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % 101 and r.shard_no == t[r.slot]
+        assert r.slot == int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % 101 and r.shard_no_ == t[r.slot]
+        assert (r.shard_no, r.shard, r.shard_) == ("s", "old", f"shard-{t[r.slot]:04d}")
+    assert sharding.place(df.withColumn("SLOT", F.lit(1)), "doc_id", sharding.names(5), 101).columns == [*df.columns, "SLOT", "slot_", "shard_no_", "shard_"]
     sharding.write(df.select("doc_id"), "doc_id", sharding.names(5), str(tmp_path / "out"), 101)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 502
     assert sharding.place(df.limit(0), "doc_id", sharding.names(5), 101).count() == 0
@@ -84,7 +88,7 @@ def test_neighbours_of_odd_vectors(spark):
     r = np.random.default_rng(0)
     v = r.normal(size=(300, 8)) * r.uniform(0.5, 2, size=(300, 1))
     v[50:90] = v[50]  # ties
-    rows = [(i, x.tolist(), "x") for i, x in enumerate(v)] + [(400, None, "x"), (401, [0.0] * 8, "x"), (402, [float("nan")] * 8, "x"), (403, [None] * 8, "x"), (404, [float("inf")] + [0.0] * 7, "x"), (405, [1.0], "x"), (None, [1.0] * 8, "x")]
+    rows = [(i, x.tolist(), "x") for i, x in enumerate(v)] + [(400, None, "x"), (401, [0.0] * 8, "x"), (402, [float("nan")] * 8, "x"), (403, [None] * 8, "x"), (404, [float("inf")] + [0.0] * 7, "x"), (None, [1.0] * 8, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, norm2 string")
     c = neighbours.clean(df, "vec_id", "embedding").cache()
     got = neighbours.nearest(c, c.filter("id % 10 = 0"), k=5, block=100, chunk=7).collect()
@@ -124,3 +128,10 @@ def test_a_list_of_any_shape(spark):
         best = max(fits, default=(0, None, "allow"))
         assert (r.rule, r.verdict) == best[1:], urls[r.page_id]
     assert len(got) == len(urls)
+
+
+def test_vectors_of_several_sizes_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (2, [0.25, 0.0]), (3, [1.0, 2.0, 3.0]), (4, [1.0, 1.0, 1.0]), (5, [1.0])]
+    c = neighbours.clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").cache()
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(c, c.filter("id <> 4")).collect())
+    assert got == [(1, 1, 2, 0.5), (1, 2, 2, 0.25), (2, 1, 1, 0.5), (2, 2, 1, 0.25), (3, 1, 4, 6.0)]
