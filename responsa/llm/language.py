@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,85 +151,109 @@ class Model:
         return np.add.reduceat(total, first, axis=0) if len(first) else np.zeros((0, len(self.langs)), np.float32)
 
 
-def build(rows: list[tuple[str, str, int]], order: int = ORDER) -> Model:
-    """The model of (language, n-gram, count) rows as count_ngrams gives them."""
-    langs = sorted({r[0] for r in rows})
+def hash_rows(codes: np.ndarray) -> np.ndarray:
+    """The hash of each row of characters, as hashes() has it."""
+    h = np.zeros(len(codes), np.uint64)
+    for k in range(codes.shape[1]):
+        h = mix(h * MULTIPLIER + mix(codes[:, codes.shape[1] - 1 - k].astype(np.uint64) + np.uint64(1)) * np.uint64(2 * k + 1))
+    return h
+
+
+def place(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of x stands in sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+@dataclass
+class Order:
+    """One order of one language: sorted hashes of n-grams, their characters, probabilities; sorted hashes of contexts, their back-off weights."""
+
+    keys: np.ndarray
+    codes: np.ndarray
+    probs: np.ndarray
+    contexts: np.ndarray
+    gammas: np.ndarray
+
+
+def orders_of(counted: list[tuple[np.ndarray, np.ndarray]], alphabet: int) -> tuple[list[Order], float]:
+    """Interpolated Kneser-Ney of one language from (characters, counts) by order; those below the top order are n-grams from a word's begin. Also the probability of an unseen character."""
+    full: list[tuple[np.ndarray, np.ndarray]] = [counted[-1]]
+    for codes, counts in counted[-2::-1]:
+        # how many characters come before each n-gram
+        tails = full[0][0][:, 1:]
+        _, first, follow = np.unique(hash_rows(tails), return_index=True, return_counts=True)
+        full.insert(0, (np.concatenate([codes, tails[first]]), np.concatenate([counts, follow])))
+    out: list[Order] = []
+    floor = 1.0 / alphabet
+    for k, (codes, counts) in enumerate(full):
+        keys = hash_rows(codes)
+        by = np.argsort(keys)
+        keys, codes, counts = keys[by], codes[by], counts[by]
+        ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        contexts, of = np.unique(hash_rows(codes[:, :-1]) if k else np.zeros(len(codes), np.uint64), return_inverse=True)
+        sums, kinds = np.bincount(of, counts, len(contexts)), np.bincount(of, minlength=len(contexts))
+        gammas = d * kinds / np.maximum(sums, 1)
+        lower = out[-1].probs[place(out[-1].keys, hash_rows(codes[:, 1:]))[0]] if k else np.full(len(codes), 1.0 / alphabet)
+        out.append(Order(keys, codes, np.maximum(counts - d, 0) / np.maximum(sums[of], 1) + gammas[of] * lower, contexts, gammas))
+        if not k and len(gammas):
+            floor = float(gammas[0]) / alphabet
+    return out, floor
+
+
+def build(counted: pa.Table, order: int = ORDER) -> Model:
+    """The model of (lang, gram, n) rows as count_ngrams gives them. Arrays throughout: some 60 bytes for each n-gram of a language."""
+    langs = sorted(set(counted.column("lang").unique().to_pylist()))
     model = Model(langs, order)
     if not langs:
         return model
-    raw: list[list[dict[str, int]]] = [[{} for _ in langs] for _ in range(order)]
-    number = {k: i for i, k in enumerate(langs)}
-    for k, g, n in rows:
-        raw[len(g) - 1][number[k]][g] = n
-    for k in range(order - 2, -1, -1):  # below the top order: how many characters come before, but for n-grams from a word's begin
-        for i in range(len(langs)):
-            follow = Counter(g[1:] for g in raw[k + 1][i] if len(g) == k + 2)
-            for g, n in follow.items():
-                raw[k][i].setdefault(g, n)
-    alphabet = len({g for i in range(len(langs)) for g in raw[0][i]}) + 1000
-    floor = np.zeros(len(langs))
-    known: list[list[dict[str, float]]] = []
-    gammas: list[list[dict[str, float]]] = []
+    size = pc.utf8_length(counted.column("gram"))
+    raw: list[list[tuple[np.ndarray, np.ndarray]]] = []
+    for lang in langs:
+        own, by_order = pc.equal(counted.column("lang"), lang), []
+        for k in range(order):
+            some = counted.filter(pc.and_(own, pc.equal(size, k + 1)))
+            codes = np.frombuffer("".join(some.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, k + 1)
+            by_order.append((codes, some.column("n").to_numpy().astype(np.int64)))
+        raw.append(by_order)
+    # single characters of all languages: the last ones of all n-grams
+    alphabet = len(np.unique(np.concatenate([codes[:, -1] for by_order in raw for codes, _ in by_order]))) + 1000
+    each = [orders_of(by_order, alphabet) for by_order in raw]
+    table = np.zeros((0, len(langs)))
     for k in range(order):
-        here, gamma_here = [], []
-        for i in range(len(langs)):
-            counts = raw[k][i]
-            ones, twos = sum(n == 1 for n in counts.values()), sum(n == 2 for n in counts.values())
-            d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
-            sums, kinds = Counter(), Counter()
-            for g, n in counts.items():
-                sums[g[:-1]] += n
-                kinds[g[:-1]] += 1
-            gamma = {c: d * kinds[c] / sums[c] for c in sums}
-            if not k:
-                floor[i] = gamma.get("", 1.0) / alphabet
-                lower_of = lambda g, i=i: 1.0 / alphabet
+        keys, first = np.unique(np.concatenate([o[k].keys for o, _ in each]), return_index=True)
+        codes = np.concatenate([o[k].codes for o, _ in each])[first]
+        tails = place(model.keys[-1], hash_rows(codes[:, 1:]))[0] if k else None
+        context = hash_rows(codes[:, :-1]) if k else None
+        here = np.empty((len(keys), len(langs)))
+        for i, (o, floor) in enumerate(each):
+            # by back-off where the language hasn't seen the n-gram
+            if k:
+                at, known = place(o[k].contexts, context)
+                here[:, i] = np.where(known, o[k].gammas[at] if len(o[k].gammas) else 1.0, 1.0) * table[tails, i]
             else:
-                lower_of = lambda g, i=i: chain(g[1:], known, gammas, i, floor[i])
-            here.append({g: max(n - d, 0) / sums[g[:-1]] + gamma[g[:-1]] * lower_of(g) for g, n in counts.items()})
-            gamma_here.append(gamma)
-        known.append(here)
-        gammas.append(gamma_here)
-    for k in range(order):
-        grams = sorted(set().union(*known[k]))
-        keys = hash_of(grams, k)
-        by = np.argsort(keys)
-        model.keys.append(keys[by])
-        model.probs.append(np.log(np.array([[chain(g, known, gammas, i, floor[i]) for i in range(len(langs))] for g in grams]).reshape(-1, len(langs))[by]).astype(np.float32))
-        cs = sorted(set().union(*gammas[k])) if k else []
-        keys = hash_of(cs, k - 1)
-        by = np.argsort(keys)
-        model.contexts.append(keys[by])
-        model.weights.append(np.log(np.array([[gammas[k][i].get(c, 1.0) for i in range(len(langs))] for c in cs]).reshape(-1, len(langs))[by]).astype(np.float32))
-    model.unseen = np.log(floor).astype(np.float32)
+                here[:, i] = floor
+            here[np.searchsorted(keys, o[k].keys), i] = o[k].probs
+        table = here
+        model.keys.append(keys)
+        model.probs.append(np.log(here).astype(np.float32))
+        contexts = np.unique(np.concatenate([o[k].contexts for o, _ in each])) if k else np.zeros(0, np.uint64)
+        weights = np.ones((len(contexts), len(langs)))
+        for i, (o, _) in enumerate(each):
+            if k:
+                weights[np.searchsorted(contexts, o[k].contexts), i] = o[k].gammas
+        model.contexts.append(contexts)
+        model.weights.append(np.log(weights).astype(np.float32))
+    model.unseen = np.log([floor for _, floor in each]).astype(np.float32)
     return model
 
 
-def chain(g: str, known: list, gammas: list, i: int, floor: float) -> float:
-    """The interpolated probability in language i, by back-off where the n-gram is unseen."""
-    weight = 1.0
-    while g:
-        k = len(g) - 1
-        if (p := known[k][i].get(g)) is not None:
-            return weight * p
-        if k:
-            weight *= gammas[k][i].get(g[:-1], 1.0)
-        g = g[1:]
-    return weight * floor
-
-
-def hash_of(grams: list[str], k: int) -> np.ndarray:
-    if not grams:
-        return np.zeros(0, np.uint64)
-    points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = k + 1
-    return hashes(points, np.tile(np.arange(n), len(grams)), n)[k][n - 1 :: n]
-
-
 def train(df: DataFrame, order: int = ORDER) -> Model:
     """df: lang, text. Rows without either are left out."""
-    got = count_ngrams(count_words(df.filter("lang IS NOT NULL AND text IS NOT NULL")), order).toArrow()
-    return build(list(zip(*(got.column(x).to_pylist() for x in ("lang", "gram", "n")), strict=True)), order)
+    return build(count_ngrams(count_words(df.filter("lang IS NOT NULL AND text IS NOT NULL")), order).toArrow(), order)
 
 
 class Scorer:
