@@ -115,9 +115,10 @@ def importance(coefficients: DataFrame) -> DataFrame:
     return coefficients.groupBy(g.alias("group")).agg(F.sum(F.abs(c)).alias("sum_abs"), F.sqrt(F.sum(c * c)).alias("l2"), F.max(F.abs(c)).alias("max_abs"), F.count("*").alias("n"))
 
 
-def label_entropy(df: DataFrame, y: str = "label") -> DataFrame:
+def label_entropy(df: DataFrame, *groups: str, y: str = "label") -> DataFrame:
+    """groups, entropy of the mean label."""
     q = F.least(F.greatest(F.avg(y), F.lit(1e-12)), F.lit(1 - 1e-12))
-    return df.agg((-(q * F.ln(q) + (1 - q) * F.ln(1 - q))).alias("entropy"))
+    return df.groupBy(*groups).agg((-(q * F.ln(q) + (1 - q) * F.ln(1 - q))).alias("entropy"))
 
 
 def correlations(wide: DataFrame, left: list[str], right: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,7 +133,3 @@ def ridge(df: DataFrame, y: str, weight: str, l2: float = 1.0) -> tuple[np.ndarr
     pen = np.diag([l2] * (d - 1) + [1e-9])
     w = np.linalg.solve(m[d:].reshape(d, d) + pen, m[:d])
     return w[:-1], float(w[-1])
-
-
-def as_array(v: Column) -> Column:
-    return vector_to_array(v)

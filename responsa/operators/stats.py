@@ -216,3 +216,13 @@ def encode(df: DataFrame, column: str, vocab: DataFrame) -> DataFrame:
     """df with <column>_id: 0 for null, 1 for tokens not in vocab."""
     v = vocab.select(F.col("token").alias(column), F.col("id").alias("_id"))
     return df.join(v, column, "left").withColumn(f"{column}_id", F.when(F.col(column).isNull(), F.lit(0)).otherwise(F.coalesce("_id", F.lit(1))).cast("long")).drop("_id")
+
+
+def additive_logits(df: DataFrame, key: str, parts: list[str], label: str = "label") -> DataFrame:
+    """key, z: the logit of the mean label, plus what the mean of each part's group is above it; nothing for a null group."""
+    g = df.agg(F.avg(label).alias("g"))
+    out, z = df.select(key, *parts).crossJoin(g), F.ln(F.col("g") / (1 - F.col("g")))
+    for k, part in enumerate(parts):
+        own = df.filter(F.col(part).isNotNull()).groupBy(part).agg(F.avg(label).alias(f"_m{k}"))
+        out, z = out.join(own, part, "left"), z + F.coalesce(F.col(f"_m{k}") - F.col("g"), F.lit(0.0))
+    return out.select(key, z.alias("z"))

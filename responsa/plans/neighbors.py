@@ -36,7 +36,7 @@ def near(spark, d):
     return neighbors.top_k(v, v, K)
 
 
-@query("J11 J12 N07 U12", f"WITH {NEAR} SELECT * FROM near", "sim", 7, log=False)
+@query("J11 N07 U12", f"WITH {NEAR} SELECT * FROM near", "sim", 7, log=False)
 def topk_neighbors(spark, d):
     return near(spark, d)
 
@@ -75,7 +75,7 @@ def normalised_vectors(spark, d):
 TOP = "list_max(list_transform(embedding, lambda x: abs(x::double)))"
 
 
-@query("L04 J17", f"SELECT vec_id, scale, list_sum(list_transform(embedding, lambda x: greatest(least(round_even(x::double / scale, 0), 127), -127)))::bigint AS total, greatest(least(round_even(embedding[1]::double / scale, 0), 127), -127)::bigint AS q1, list_max(list_transform(embedding, lambda x: abs(x::double - round_even(x::double / scale, 0) * scale))) <= scale AS close FROM (SELECT *, CASE WHEN {TOP} > 1e-12 THEN {TOP} / 127 ELSE 1 END AS scale FROM embeddings)", "scale", log=False)
+@query("L04", f"SELECT vec_id, scale, list_sum(list_transform(embedding, lambda x: greatest(least(round_even(x::double / scale, 0), 127), -127)))::bigint AS total, greatest(least(round_even(embedding[1]::double / scale, 0), 127), -127)::bigint AS q1, list_max(list_transform(embedding, lambda x: abs(x::double - round_even(x::double / scale, 0) * scale))) <= scale AS close FROM (SELECT *, CASE WHEN {TOP} > 1e-12 THEN {TOP} / 127 ELSE 1 END AS scale FROM embeddings)", "scale", log=False)
 def int8_quantized(spark, d):
     x = vectors(spark, d).withColumns(neighbors.quantize(F.col("v")))
     total = F.aggregate("q", F.lit(0).cast("long"), lambda s, y: s + y)
@@ -244,7 +244,7 @@ TREES = [
 ]
 
 
-@query("T01 T03", f", {SCORED}, x AS (SELECT row_id, CASE WHEN item_id::bigint % 7 = 0 THEN NULL ELSE p END AS f, trial::double AS t FROM p) SELECT row_id, 0.01 + CASE WHEN f IS NULL OR f <= 0.5 THEN CASE WHEN t <= 3 THEN -0.2 ELSE 0.1 END ELSE 0.3 END + CASE WHEN t <= 2 THEN -0.05 ELSE 0.25 END AS raw FROM x", "raw")
+@query("T01", f", {SCORED}, x AS (SELECT row_id, CASE WHEN item_id::bigint % 7 = 0 THEN NULL ELSE p END AS f, trial::double AS t FROM p) SELECT row_id, 0.01 + CASE WHEN f IS NULL OR f <= 0.5 THEN CASE WHEN t <= 3 THEN -0.2 ELSE 0.1 END ELSE 0.3 END + CASE WHEN t <= 2 THEN -0.05 ELSE 0.25 END AS raw FROM x", "raw")
 def tree_scores(spark, d):
     df = scored(spark, d).select("row_id", F.when(F.col("item_id").cast("long") % 7 == 0, None).otherwise(F.col("p")).alias("f"), F.col("trial").cast("double").alias("t"))
     return models.score_trees(df, "row_id", ["f", "t"], TREES, 0.01)
@@ -256,12 +256,12 @@ def field_weighted_scores(spark, d):
     return scored(spark, d).select("row_id", models.field_pairs(x, [[0.5, 1.0], [-1.0, 2.0], [0.3, 0.4]], [0, 0, 1], [[0.7, 1.5], [1.5, 0.2]], [1.0, 2.0, 0.5], 0.1).alias("z"))
 
 
-@query("L06 S14")
+@query("L06")
 def kmeans_clusters(spark, d):
     return models.kmeans(vectors(spark, d), 8)[1]
 
 
-@query("L01 L02 L03 N06")
+@query("L01")
 def pca_coordinates(spark, d):
     v = vectors(spark, d)
     mean, basis = models.pca(v, 4)
@@ -286,7 +286,7 @@ def _acquire(benchmark, condition, subject, item):
     return math.sin(len(item) + len(subject))
 
 
-@query("R13 R15 U02 U03")
+@query("R13 U02 U03")
 def evaluation_round(spark, d):
     df = keys.add_item_variant_id(adapter.keyed(spark, d)).withColumn("data_category", keys.data_category(F.col("item_variant_id"))).withColumn("subject_content", F.concat(F.lit("Name: "), "display_name"))
     return rounds.run_round(df, _predict, _acquire, 100, 5)[1]
@@ -299,7 +299,7 @@ def normalised_answers(spark, d):
     return a.select("conv_id", "turn", parsed.alias("answer"), text.answer_type(parsed).alias("kind"), text.step_count(F.col("text")).cast("long").alias("steps"))
 
 
-@query("S11 S12", "SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest, count(*) AS n, min(length(text)) AS shortest FROM conversations WHERE role = 'assistant' GROUP BY 1", log=False)
+@query("S11", "SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest, count(*) AS n, min(length(text)) AS shortest FROM conversations WHERE role = 'assistant' GROUP BY 1", log=False)
 def sample_cache(spark, d):
     """Whole answers go into the cache as JSON and come back; what comes back is digested and counted."""
     a = adapter.table(spark, d, "conversations").filter("role = 'assistant'")
@@ -337,7 +337,7 @@ def duplicate_variants(spark, d):
     return quality.duplicates(df, "item_variant_id")
 
 
-@query("T11 T12", f", {CLUSTERED} SELECT row_id, (condition = 'none')::int AS c_none, (condition = 'skill=urgent')::int AS c_urgent, coalesce(cluster, 0)::bigint AS cluster FROM rows_")
+@query("T12", f", {CLUSTERED} SELECT row_id, (condition = 'none')::int AS c_none, (condition = 'skill=urgent')::int AS c_urgent, coalesce(cluster, 0)::bigint AS cluster FROM rows_")
 def member_features(spark, d):
     df = adapter.responses(spark, d).join(clusters(spark, d), "item_id", "left")
     c = normalize.condition_column(F.col("test_condition"))

@@ -21,7 +21,7 @@ def cold(spark, d):
     return splits.cold_start(adapter.keyed(spark, d), 0.2, 0, ["Brand#3"])
 
 
-@query("R01 R02 U11", f", {COLD} SELECT row_id, split FROM sides")
+@query("R01 R02", f", {COLD} SELECT row_id, split FROM sides")
 def cold_start_split(spark, d):
     return cold(spark, d).select("row_id", "split")
 
@@ -36,7 +36,7 @@ def heldout_split(spark, d):
     return splits.heldout(adapter.keyed(spark, d), ["Brand#1", "Brand#2"]).select("row_id", "split")
 
 
-@query("R04 R19", f", ranked AS (SELECT *, row_number() OVER (ORDER BY sha1('0:' || row_id), row_id) AS r, count(*) OVER () AS n FROM resp), v AS (SELECT *, r <= round_even(0.1 * n, 0) AS val FROM ranked), {SIDES} SELECT row_id, split FROM sides")
+@query("R04", f", ranked AS (SELECT *, row_number() OVER (ORDER BY sha1('0:' || row_id), row_id) AS r, count(*) OVER () AS n FROM resp), v AS (SELECT *, r <= round_even(0.1 * n, 0) AS val FROM ranked), {SIDES} SELECT row_id, split FROM sides")
 def random_row_split(spark, d):
     return splits.random_rows(adapter.keyed(spark, d), "row_id", 0.1).select("row_id", "split")
 
@@ -54,7 +54,7 @@ def item_folds(spark, d):
     return splits.folds(adapter.keyed(spark, d), "item_split_key", 7)
 
 
-@query("R07 Q08", f", {FOLDS} SELECT 0::bigint AS n_missing, 0::bigint AS n_twice, count(*) AS n_folds, (max(n) - min(n))::bigint AS spread FROM (SELECT count(*) AS n FROM folds GROUP BY fold)")
+@query("R07 Q08", f", {FOLDS} SELECT (SELECT count(*) FROM (SELECT item_split_key FROM k EXCEPT SELECT item_split_key FROM folds)) AS n_missing, (SELECT count(*) FROM (SELECT item_split_key FROM folds GROUP BY 1 HAVING count(*) > 1)) AS n_twice, count(*) AS n_folds, (max(n) - min(n))::bigint AS spread FROM (SELECT count(*) AS n FROM folds GROUP BY fold)")
 def fold_gates(spark, d):
     df = adapter.keyed(spark, d)
     return quality.fold_gates(splits.folds(df, "item_split_key", 7), df, "item_split_key")
@@ -89,7 +89,7 @@ def topk_labels(spark, d):
     return splits.top_k(df, "data_category", score(), keys.order_hash(F.col("row_id")), 20).select("data_category", "row_id", "rank")
 
 
-@query("R14 R16", f""", {CLUSTERED}, s AS (SELECT subject_id, count(*) AS n FROM rows_ GROUP BY 1), b AS (SELECT DISTINCT bc FROM rows_ WHERE item_id::bigint % 3 = 0)
+@query("R14", f""", {CLUSTERED}, s AS (SELECT subject_id, count(*) AS n FROM rows_ GROUP BY 1), b AS (SELECT DISTINCT bc FROM rows_ WHERE item_id::bigint % 3 = 0)
   SELECT row_id, 1000 * (((('0x' || substr(sha1('0:' || item_content), 1, 16))::UBIGINT) % 100 < 95) = (b.bc IS NULL))::int + 10 * ln(1 + n) / ln(1 + (SELECT max(n) FROM s)) AS score FROM rows_ JOIN s USING (subject_id) LEFT JOIN b USING (bc)""", "score")
 def acquisition_scores(spark, d):
     df = clustered(spark, d)
@@ -114,7 +114,7 @@ def redaction_counts(spark, d):
     return splits.redaction(clustered(spark, d), 0.3).groupBy("cluster").agg(F.count("*").alias("n"), F.count_if("redacted").alias("n_redacted"))
 
 
-@query("R21 U17", "SELECT a, b, c, d FROM (SELECT unnest([1, 2, 3, 4]) AS a), (SELECT unnest(['x', 'y']) AS b), (SELECT unnest([0.1, 0.2, 0.5]::double[]) AS c), (SELECT unnest([true, false]) AS d)", log=False)
+@query("R21", "SELECT a, b, c, d FROM (SELECT unnest([1, 2, 3, 4]) AS a), (SELECT unnest(['x', 'y']) AS b), (SELECT unnest([0.1, 0.2, 0.5]::double[]) AS c), (SELECT unnest([true, false]) AS d)", log=False)
 def parameter_grid(spark, d):
     one = spark.range(1).select(F.explode(F.array(*map(F.lit, [1, 2, 3, 4]))).alias("a"))
     for name, values in (("b", ["x", "y"]), ("c", [0.1, 0.2, 0.5]), ("d", [True, False])):
@@ -170,7 +170,7 @@ def calibration_table(spark, d):
     return metrics.calibration_table(scored(spark, d), y="y")
 
 
-@query("M05 M18", f", {SCORED}, e AS (SELECT condition AS g, {BIN} AS b, count(*) AS n, avg(p) AS conf, avg(y) AS acc FROM p GROUP BY 1, 2) SELECT g AS condition, sum(abs(conf - acc) * n) / sum(n) AS ece FROM e GROUP BY 1", "ece")
+@query("M05", f", {SCORED}, e AS (SELECT condition AS g, {BIN} AS b, count(*) AS n, avg(p) AS conf, avg(y) AS acc FROM p GROUP BY 1, 2) SELECT g AS condition, sum(abs(conf - acc) * n) / sum(n) AS ece FROM e GROUP BY 1", "ece")
 def ece_by_condition(spark, d):
     return metrics.ece_parts(scored(spark, d), ["condition"], "y", "p")
 
@@ -215,8 +215,7 @@ def ablation_table(spark, d):
 
 @query("M16", "SELECT benchmark, -(q * ln(q) + (1 - q) * ln(1 - q)) AS entropy FROM (SELECT benchmark, least(greatest(avg(label), 1e-12), 1 - 1e-12) AS q FROM resp GROUP BY 1)", "entropy")
 def prior_entropy(spark, d):
-    q = F.least(F.greatest(F.avg("label"), F.lit(1e-12)), F.lit(1 - 1e-12))
-    return adapter.keyed(spark, d).groupBy("benchmark").agg((-(q * F.ln(q) + (1 - q) * F.ln(1 - q))).alias("entropy"))
+    return metrics.label_entropy(adapter.keyed(spark, d), "benchmark")
 
 
 @query("M17", f", {SCORED}, r AS (SELECT avg(y) AS r FROM p) SELECT 'half' AS name, avg({BCE('y', '0.5')}) AS log_loss FROM p UNION ALL SELECT 'base_rate', avg({BCE('y', 'r')}) FROM p, r UNION ALL SELECT 'model', avg({BCE('y', 'p')}) FROM p", "log_loss")
@@ -230,7 +229,7 @@ def group_importance(spark, d):
     return metrics.importance(p.select(F.concat_ws("__", "p_brand", "p_partkey").alias("feature"), ((F.col("p_size") - 25) / 10.0).alias("coefficient")))
 
 
-@query("M21 M12", "WITH w AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS dd, avg(l_tax) AS t, avg(l_extendedprice) AS e FROM lineitem GROUP BY l_partkey) SELECT a, b, r FROM (SELECT unnest(['q', 'q', 'dd', 'dd']) AS a, unnest(['t', 'e', 't', 'e']) AS b, unnest([corr(q, t), corr(q, e), corr(dd, t), corr(dd, e)]) AS r FROM w)", "r", log=False)
+@query("M21", "WITH w AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS dd, avg(l_tax) AS t, avg(l_extendedprice) AS e FROM lineitem GROUP BY l_partkey) SELECT a, b, r FROM (SELECT unnest(['q', 'q', 'dd', 'dd']) AS a, unnest(['t', 'e', 't', 'e']) AS b, unnest([corr(q, t), corr(q, e), corr(dd, t), corr(dd, e)]) AS r FROM w)", "r", log=False)
 def item_correlations(spark, d):
     w = adapter.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("dd"), F.avg("l_tax").alias("t"), F.avg("l_extendedprice").alias("e"))
     return metrics.correlations(w, ["q", "dd"], ["t", "e"])
@@ -267,27 +266,23 @@ def isotonic_steps(spark, d):
     return calibrate.isotonic(scored(spark, d), "p", "y")
 
 
-@query("C06 C07 C09 T04 T16 U13")
+@query("C06 T04")
 def logistic_fit(spark, d):
     df = scored(spark, d).withColumn("z", metrics.logit_of("p")).withColumn("t", F.col("trial") / 6)
     w, b = calibrate.irls(df, ["z", "t"], "y")
     return spark.createDataFrame([("z", float(w[0])), ("t", float(w[1])), ("bias", b)], "feature string, weight double")
 
 
-@query("C10 C11 L09")
+@query("C10 L09")
 def ensemble_weights(spark, d):
     df = scored(spark, d).withColumns({"b": ((F.col("item_id").cast("long") * 13) % 103) / 103.0, "c": (F.col("p") + 0.3) / 1.6})
     w = calibrate.blend_weights(df, ["p", "b", "c"], "y", steps=10)
     return spark.createDataFrame(list(zip(["p", "b", "c"], map(float, w), strict=True)), "member string, weight double")
 
 
-@query("U18 T15", f""", {CLUSTERED}, g AS (SELECT avg(label) AS g FROM rows_) SELECT row_id, ln(g / (1 - g)) + s + b AS z FROM rows_ JOIN (SELECT subject_id, avg(label) - (SELECT g FROM g) AS s FROM rows_ GROUP BY 1) USING (subject_id) JOIN (SELECT bc, avg(label) - (SELECT g FROM g) AS b FROM rows_ GROUP BY 1) USING (bc), g""", "z")
+@query("U18", f""", {CLUSTERED}, g AS (SELECT avg(label) AS g FROM rows_) SELECT row_id, ln(g / (1 - g)) + s + b AS z FROM rows_ JOIN (SELECT subject_id, avg(label) - (SELECT g FROM g) AS s FROM rows_ GROUP BY 1) USING (subject_id) JOIN (SELECT bc, avg(label) - (SELECT g FROM g) AS b FROM rows_ GROUP BY 1) USING (bc), g""", "z")
 def baseline_logits(spark, d):
-    df = clustered(spark, d)
-    g = df.agg(F.avg("label").alias("g"))
-    part = lambda k, n: df.groupBy(k).agg(F.avg("label").alias("m")).crossJoin(g).select(k, (F.col("m") - F.col("g")).alias(n))
-    out = df.join(part("subject_id", "s"), "subject_id", "left").join(part("bc", "b"), "bc", "left").crossJoin(g)
-    return out.select("row_id", (F.ln(F.col("g") / (1 - F.col("g"))) + F.coalesce("s", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))).alias("z"))
+    return stats.additive_logits(clustered(spark, d), "row_id", ["subject_id", "bc"])
 
 
 @query("A14 A07", "SELECT macro_family, sum(label) AS s, count(*) AS n, (sum(label) + 30 * (SELECT avg(label) FROM resp)) / (count(*) + 30) AS shrunk FROM resp GROUP BY 1", "s shrunk")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from responsa.operators import quality, stats
+from responsa.operators import quality, splits, stats
 from responsa.plans.registry import query
 from responsa.plans.scalar import SHA
 from responsa.sources import adapter
@@ -182,7 +181,7 @@ def numeric_scaler(spark, d):
     return stats.numeric_scaler(p, "x")
 
 
-@query("A27 A23", "SELECT benchmark, avg(label) AS mean, stddev_pop(label) AS std, avg(length(item_content)) AS chars_mean, stddev_pop(length(item_content)) AS chars_std FROM resp GROUP BY 1", "mean std chars_mean chars_std")
+@query("A27", "SELECT benchmark, avg(label) AS mean, stddev_pop(label) AS std, avg(length(item_content)) AS chars_mean, stddev_pop(length(item_content)) AS chars_std FROM resp GROUP BY 1", "mean std chars_mean chars_std")
 def population_moments(spark, d):
     n = F.length("item_content")
     return adapter.keyed(spark, d).groupBy("benchmark").agg(F.avg("label").alias("mean"), F.stddev_pop("label").alias("std"), F.avg(n).alias("chars_mean"), F.stddev_pop(n).alias("chars_std"))
@@ -212,11 +211,10 @@ def encoded_rows(spark, d):
     return stats.encode(df, "benchmark", v).select("row_id", F.when(F.col("test_condition").isNull(), 0).otherwise(2).cast("long").alias("has_condition"), "benchmark_id")
 
 
-@query("J19 S16", f", {CLUSTERED} SELECT item_id, row_number() OVER (ORDER BY item_id) AS idx, min(benchmark) AS benchmark, coalesce(min(cluster), 0) AS cluster_id FROM rows_ GROUP BY 1")
+@query("J19 S16", f", {CLUSTERED} SELECT item_id, row_number() OVER (ORDER BY sha1('0:' || item_id), item_id) AS idx, min(benchmark) AS benchmark, coalesce(min(cluster), 0) AS cluster_id FROM rows_ GROUP BY 1")
 def item_index(spark, d):
     one = clustered(spark, d).groupBy("item_id").agg(F.min("benchmark").alias("benchmark"), F.coalesce(F.min("cluster"), F.lit(0)).alias("cluster_id"))
-    # the index is the registry of items, not of rows
-    return one.withColumn("idx", F.row_number().over(Window.orderBy("item_id")).cast("long"))
+    return splits.hash_rank(one, "item_id").select("item_id", F.col("hash_rank").cast("long").alias("idx"), "benchmark", "cluster_id")
 
 
 @query("S22", "SELECT 'benchmark' AS kind, benchmark AS value, count(*) AS n FROM resp GROUP BY 2 UNION ALL SELECT 'condition', condition, count(*) FROM resp GROUP BY 2 UNION ALL SELECT 'subject', display_name, count(*) FROM resp GROUP BY 2")
@@ -244,7 +242,7 @@ def embedding_checks(spark, d):
     return quality.embedding_checks(adapter.table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query("Q01 Q02 Q07", f""", {KEYED} SELECT UNNEST([struct_pack(name := 'missing_subject', n := count(*) FILTER (subject_id IS NULL)), struct_pack(name := 'missing_condition', n := count(*) FILTER (test_condition IS NULL)), struct_pack(name := 'label_outside', n := count(*) FILTER (response < 0 OR response > 1)),
+@query("Q01 Q02", f""", {KEYED} SELECT UNNEST([struct_pack(name := 'missing_subject', n := count(*) FILTER (subject_id IS NULL)), struct_pack(name := 'missing_condition', n := count(*) FILTER (test_condition IS NULL)), struct_pack(name := 'label_outside', n := count(*) FILTER (response < 0 OR response > 1)),
     struct_pack(name := 'condition_not_normalised', n := count(*) FILTER (condition IS NULL OR condition = '' OR lower(condition) IN ('nan', 'null'))), struct_pack(name := 'duplicate_rows', n := count(*) - (SELECT count(*) FROM (SELECT DISTINCT subject_id, item_key, label FROM k))),
     struct_pack(name := 'inconsistent_pairs', n := (SELECT count(*) FROM (SELECT 1 FROM k GROUP BY subject_id, item_key HAVING count(DISTINCT label) > 1)))], recursive := true) FROM k""")
 def quality_checks(spark, d):
