@@ -147,7 +147,11 @@ sizes AS (SELECT DISTINCT len(terms) AS n FROM wins),
 grams AS (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS terms FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, sizes WHERE len(w) >= n)),
 found AS (SELECT doc_id, i, n, item FROM grams JOIN wins USING (terms)),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM found) GROUP BY doc_id),
-near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM (SELECT doc_id, item FROM low JOIN wins ON len(terms) > 1 AND list_has_all(w, terms) WHERE len(list_filter(range(1, greatest(len(w) - 19, 1) + 1), lambda s: list_has_all(list_slice(w, s, s + 19), terms))) > 0) GROUP BY doc_id),
+counts AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM low) GROUP BY 1),
+rare AS (SELECT item, terms, arg_min(word, n) AS word FROM (SELECT item, terms, unnest(terms) AS t FROM wins WHERE len(terms) > 1) JOIN counts ON t = word GROUP BY item, terms),
+post AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM low),
+cand AS (SELECT doc_id, item, terms, pos, list_slice(w, greatest(pos - 19, 1), pos + 19) AS x FROM rare JOIN post USING (word) JOIN low USING (doc_id)),
+near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM cand WHERE list_has_all(x, terms) AND len(list_filter(range(1, 21), lambda s: list_has_all(list_slice(x, s, s + 19), terms))) > 0 GROUP BY doc_id),
 names AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY doc_id)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_near, 0)::bigint AS n_near, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM low LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id) LEFT JOIN near USING (doc_id)
