@@ -3,13 +3,13 @@
 1. Windows: each `size` consecutive words of an item; an item of fewer words is one window.
 2. Term counts over all documents, for the windows' terms alone; for each window its two
    rarest terms, and their places in the window.
-3. The index: postings (term, document, position) of those terms, and the token lists of
-   documents that have any, one stored row for each document. A bitmap of term hashes decides
-   what is posted; what it lets through wrongly meets no window.
+3. The index: postings (term, document, position) of those terms, one stored row for each
+   document. A bitmap of term hashes decides what is posted; what it lets through wrongly
+   meets no window.
 4. Postings of a window's rarest term, offset by its place, are the first list of starts; the
    list of its second rarest term, offset by its own place, is intersected with it. At the
-   starts that are left, the other terms are looked up in the document's token list, in order:
-   a phrase match.
+   starts that are left, the other terms are looked up in the document's token list (made again
+   from its text), in order: a phrase match.
 5. Proximity: where the second rarest term stands within `near` words of the rarest, the
    documents' tokens there must hold all terms of the window within `near` words, in any order.
 
@@ -65,32 +65,44 @@ def bitmap(terms: DataFrame) -> tuple[Column, int]:
     return F.from_json(F.lit("[" + ",".join(map(str, longs)) + "]"), "array<bigint>"), size
 
 
-def index(docs: DataFrame, terms: DataFrame, named: Column | None = None) -> DataFrame:
-    """row, doc_id (or `named`), n_words, postings (array of term, pos), w (all words, where there are postings): one row for each row of docs."""
+def text_key(text: Column) -> Column:
+    """Equal for equal texts only (128 bits)."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """row, doc_id, key (of the text), n_words, postings (array of term, pos): one row for each row of docs."""
     bits, n = bitmap(terms)
-    base = docs.select(F.col("doc_id").alias("doc_id") if named is None else named.alias("doc_id"), words(F.col("text")).alias("w")).withColumn("bits", bits)
+    base = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w")).withColumn("bits", bits)
     marked = f"transform(w, (x, i) -> if((shiftright(bits[cast(shiftright(pmod(xxhash64(x), {n}), 6) as int)], cast(pmod(xxhash64(x), 64) as int)) & 1L) = 1L, i, -1))"
-    posted = base.select("doc_id", "w", F.expr(f"transform(array_remove({marked}, -1), p -> named_struct('term', w[p], 'pos', p))").alias("postings"))
-    return posted.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").cast("long").alias("n_words"), "postings", F.when(F.size("postings") > 0, F.col("w")).alias("w"))
+    posted = F.expr(f"transform(array_remove({marked}, -1), p -> named_struct('term', w[p], 'pos', p))")
+    return base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", F.size("w").cast("long").alias("n_words"), posted.alias("postings"))
 
 
 def postings(stored: DataFrame) -> DataFrame:
     return stored.filter("size(postings) > 0").select("row", F.explode("postings").alias("p")).select("row", "p.term", "p.pos")
 
 
-def phrases(stored: DataFrame, wins: DataFrame) -> DataFrame:
+def looked_up(met: DataFrame, stored: DataFrame, wins: DataFrame, docs: DataFrame) -> DataFrame:
+    """met (row, id, ...) with terms, the window's, and w, the document's token list: made again for the texts that are asked for, as all lists would take more room than the texts."""
+    asked = cut(met.join(stored.select("row", "key"), "row"))
+    keys = small(cut(asked.select("key").distinct()))
+    texts = docs.select(text_key(F.col("text")).alias("key"), "text").join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    return asked.join(texts.select("key", words(F.col("text")).alias("w")), "key").join(small(wins.select("id", "terms")), "id")
+
+
+def phrases(stored: DataFrame, wins: DataFrame, docs: DataFrame) -> DataFrame:
     """row, id, start: occurrences of windows (stored)."""
     lists = postings(stored)
-    first = small(wins.select("id", F.col("t1").alias("term"), "p1", "t2", "p2", F.size("terms").alias("length")))
-    starts = lists.join(first, "term").select("row", "id", (F.col("pos") - F.col("p1")).alias("start"), "t2", "p2", "length").filter("start >= 0")
+    first = small(wins.select("id", F.col("t1").alias("term"), "p1", "t2", "p2"))
+    starts = lists.join(first, "term").select("row", "id", (F.col("pos") - F.col("p1")).alias("start"), "t2", "p2").filter("start >= 0")
     second = lists.select("row", F.col("term").alias("t2"), F.col("pos").alias("at2"))
     met = starts.filter("t2 IS NOT NULL").withColumn("at2", F.col("start") + F.col("p2")).join(second, ["row", "t2", "at2"], "left_semi").select("row", "id", "start")
     met = met.unionByName(starts.filter("t2 IS NULL").select("row", "id", "start"))
-    looked = met.join(small(wins.select("id", "terms")), "id").join(stored.filter("w IS NOT NULL").select("row", "w"), "row")
-    return looked.filter("slice(w, start + 1, size(terms)) = terms").select("row", "id", "start")
+    return looked_up(met, stored, wins, docs).filter("slice(w, start + 1, size(terms)) = terms").select("row", "id", "start")
 
 
-def nearby(stored: DataFrame, wins: DataFrame, near: int) -> DataFrame:
+def nearby(stored: DataFrame, wins: DataFrame, docs: DataFrame, near: int) -> DataFrame:
     """row, id: windows of two words or more whose terms all stand within `near` words of the row, in any order."""
     lists = postings(stored)
     first = small(wins.filter("t2 IS NOT NULL").select("id", F.col("t1").alias("term"), "t2"))
@@ -98,29 +110,28 @@ def nearby(stored: DataFrame, wins: DataFrame, near: int) -> DataFrame:
     one = lists.join(first, "term").select("row", "id", "t2", "pos", F.explode(F.expr(f"sequence(cast(pos / {near} as int) - 1, cast(pos / {near} as int) + 1)")).alias("stretch"))
     two = lists.select("row", F.col("term").alias("t2"), F.expr(f"cast(pos / {near} as int)").alias("stretch"), F.col("pos").alias("at2"))
     met = one.join(two, ["row", "t2", "stretch"]).filter(f"abs(pos - at2) < {near}").select("row", "id", "pos").distinct()
-    looked = met.join(small(wins.select("id", "terms")), "id").join(stored.filter("w IS NOT NULL").select("row", "w"), "row")
     # cheap first: all terms are in the words on either side; then in one of the spans of `near` words
     around = F.expr(f"slice(w, greatest(pos - {near - 1}, 0) + 1, least(pos, {near - 1}) + {near})")
-    looked = looked.withColumn("around", around).filter("size(array_except(terms, around)) = 0")
+    looked = looked_up(met, stored, wins, docs).select("row", "id", "terms", around.alias("around")).filter("size(array_except(terms, around)) = 0")
     span = f"exists(sequence(1, greatest(size(around) - {near} + 1, 1)), s -> size(array_except(terms, slice(around, s, {near}))) = 0)"
     return looked.filter(span).select("row", "id").distinct()
 
 
-def found(docs: DataFrame, items: DataFrame, size: int, named: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def found(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(the stored index, the stored windows)."""
     wins = cut(rarest(cut(windows(items, size)), docs))
     terms = wins.select(F.col("t1").alias("term")).unionByName(wins.filter("t2 IS NOT NULL").select(F.col("t2").alias("term"))).distinct()
-    return cut(index(docs, terms, named)), wins
+    return cut(index(docs, terms)), wins
 
 
 def find(docs: DataFrame, items: DataFrame, size: int = SIZE, near: int = NEAR) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and n_near (items with a window within `near` words, in any order) of each row of docs."""
     stored, wins = found(docs, items, size)
     named = small(wins.select("id", "items", F.size("terms").alias("length")))
-    hits = phrases(stored, wins).join(named, "id").groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = phrases(stored, wins, docs).join(named, "id").groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.expr("size(array_distinct(flatten(transform(at, x -> sequence(x.start, x.start + x.length - 1)))))")
     hits = hits.select("row", covered.cast("long").alias("n_hit"), "items")
-    close = nearby(stored, wins, near).join(named, "id").groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_set("items")))).cast("long").alias("n_near"))
+    close = nearby(stored, wins, docs, near).join(named, "id").groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_set("items")))).cast("long").alias("n_near"))
     out = stored.select("row", "doc_id", "n_words").join(hits.join(close, "row", "full"), "row", "left")
     n = F.coalesce("n_hit", F.lit(0).cast("long"))
     got = F.coalesce("items", F.array().cast("array<string>"))
@@ -129,10 +140,10 @@ def find(docs: DataFrame, items: DataFrame, size: int = SIZE, near: int = NEAR)
 
 def keep_clean(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
     """Rows of docs whose text has no hit; rows go by their texts, whatever their doc_id."""
-    name, key = fresh(docs, "bad"), F.md5(F.col("text").cast("binary"))
-    stored, wins = found(docs, items, size, key)
-    bad = stored.select("row", "doc_id").join(phrases(stored, wins).select("row").distinct(), "row").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(small(cut(bad)), key == F.col(name), "left_anti")
+    name = fresh(docs, "bad")
+    stored, wins = found(docs, items, size)
+    bad = stored.select("row", "key").join(phrases(stored, wins, docs).select("row").distinct(), "row").select(F.col("key").alias(name)).distinct()
+    return docs.join(small(cut(bad)), text_key(F.col("text")) == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
