@@ -56,7 +56,7 @@ START, DEPTH, SMALL, FIRST = 2, 4, 64, 2
 #: The probability that a pair at the limit is missed is below this.
 MISS = 2e-5
 #: Documents and shingles of a block.
-BLOCK, LOAD = 512, 200_000
+BLOCK, LOAD = 2048, 1_000_000
 #: Sketches of 192 coordinates stray from the similarity by 0.029 (one sigma, at 0.8). Below the limit by more than five: no link.
 FAR = 0.15
 #: A node with more than this share of all rows is joined by broadcast: there are at most 1 / HOT.
