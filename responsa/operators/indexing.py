@@ -19,13 +19,11 @@ def cells_of(points: DataFrame, centres: DataFrame, probes: int = 1) -> DataFram
 
 
 def probe(queries: DataFrame, items: DataFrame, centres: DataFrame, k: int, probes: int = 4) -> DataFrame:
-    """query, rank, item, sim (cosine): the k best of the items in the cells that are nearest to a query; itself left out. Items and queries (id, v) meet by cell only."""
+    """query, rank, item, sim (cosine): the k best of the items in the cells that are nearest to a query; itself left out. Items and queries (id, v) meet by cell only, as products of blocks."""
     unit = lambda df: df.select("id", neighbors.normalise(F.col("v")).alias("v"))
-    posted = cells_of(unit(items), centres).join(unit(items), "id").select("cluster", F.col("id").alias("item"), F.col("v").alias("w"))
-    asked = cells_of(unit(queries), centres, probes).join(unit(queries), "id").select("cluster", F.col("id").alias("query"), "v")
-    met = asked.join(posted, "cluster").filter("query <> item").select("query", "item", F.round(neighbors.dot(F.col("v"), F.col("w")), 9).alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "item")).cast("long")
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query", "rank", "item", "sim")
+    posted = cells_of(unit(items), centres).join(items.select("id", "v"), "id")
+    asked = cells_of(unit(queries), centres, probes).join(queries.select("id", "v"), "id")
+    return neighbors.top_k(asked, posted, k, by="cluster")
 
 
 def randomised_pca(df: DataFrame, k: int, extra: int = 10, powers: int = 2, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
