@@ -84,8 +84,12 @@ def clusters(points: DataFrame, path: str, k: int, seed: int = 0) -> tuple[DataF
     return spark.read.parquet(f"{path}/centres"), spark.read.parquet(f"{path}/assignments"), False
 
 
-def export_bundle(points: DataFrame, registry: DataFrame, passrates: DataFrame, path: str, components: int, most_bytes: int) -> dict[str, int]:
-    """Writes components' coordinates as int8 with their scales, the basis, the registry of items and the pass rates under path; the bytes of each. An error, and nothing left, where together they are more than most_bytes."""
+def export_bundle(points: DataFrame, registry: DataFrame, passrates: DataFrame, path: str, components: int, most_bytes: int, volumes: bool = False) -> dict[str, int]:
+    """Writes components' coordinates as int8 with their scales, the basis, the registry of items and the pass rates under path; the bytes of each. An error, and nothing left, where together they are more than most_bytes.
+
+    volumes: most_bytes is what one volume holds; a larger bundle has several. Files are cut to fit,
+    and `volumes` under path lists name, file and volume of each. An error where no cut makes a file fit.
+    """
     spark = points.sparkSession
     mean, basis = models.pca(points, components)
     z = points.select("id", models.project(F.col("v"), basis, mean).alias("z")).withColumns(neighbors.quantize(F.col("z"))).drop("z")
@@ -95,8 +99,42 @@ def export_bundle(points: DataFrame, registry: DataFrame, passrates: DataFrame,
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
         sizes[name] = int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
-    if sum(sizes.values()) > most_bytes:
+    listed = []
+    if volumes and sum(sizes.values()) > most_bytes:
+        for name in sizes:
+            if sizes[name] > most_bytes // 2:  # halves, as files of equal rows are not of equal bytes
+                spark.read.parquet(f"{path}/{name}").repartition(-(-sizes[name] * 4 // most_bytes)).write.mode("overwrite").parquet(f"{path}/cut-{name}")
+                move(spark, f"{path}/cut-{name}", f"{path}/{name}")
+        listed = deal([(n, f, size) for n in sizes for f, size in files_of(spark, f"{path}/{n}")], most_bytes)
+        sizes = {n: sum(x[3] for x in listed if x[0] == n) for n in sizes}
+    if max((x[3] for x in listed), default=sum(sizes.values())) > most_bytes:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
         raise ValueError(f"the bundle has {sum(sizes.values())} bytes, more than {most_bytes}")
+    if listed:
+        spark.createDataFrame(listed, "name string, file string, volume int, bytes long").coalesce(1).write.mode("overwrite").parquet(f"{path}/volumes")
     return sizes
+
+
+def deal(files: list[tuple[str, str, int]], most: int) -> list[tuple[str, str, int, int]]:
+    """name, file, volume, bytes: files in their order, a new volume where one more would be too much."""
+    out, volume, held = [], 0, 0
+    for name, file, size in files:
+        if held and held + size > most:
+            volume, held = volume + 1, 0
+        out.append((name, file, volume, size))
+        held += size
+    return out
+
+
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted((f.getPath().getName(), int(f.getLen())) for f in found if not f.getPath().getName().startswith(("_", ".")))
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (old, new))
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(b, True)
+    fs.rename(a, b)
