@@ -10,8 +10,10 @@
    average; its documents go to one child for each, the child of their token there. Two
    documents of similarity 0.8 thus expect one common child of every common node. Nodes whose
    documents are one component already end. Nodes of at most SMALL documents are compared
-   exhaustively; larger ones branch on. What is large after DEPTH selections is compared
-   whole, in pairs of blocks, each pair of blocks a group of its own.
+   exhaustively; larger ones branch on. Large nodes that hold the same documents over and
+   over, as trees do with a group of near copies, are made one (`families`). That one, and
+   what is large after DEPTH selections, is compared whole, in pairs of blocks, each pair of
+   blocks a group of its own.
 4. Comparisons go by sketch first; what could be similar enough is confirmed on full sets.
    Confirmation deals documents into blocks, so that a text goes to each pair of blocks
    once, however many pairs it is in there.
@@ -220,9 +222,29 @@ def compare(rows: DataFrame, least: float, forest: bool) -> DataFrame:
     return placed.mapInArrow(run, "a long, b long")
 
 
+def families(large: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Families of large nodes, as rows (node, id, component), and the rows of all other nodes of large (stored; node, id, component), or None where there are none.
+
+    Nodes with the same commonest component are mostly made of the same documents, once for
+    each tree. Where these meet in fewer pairs as one node than they do in their nodes, they
+    are one node from there on, which holds every pair of those; it is not branched. With
+    DEPTH = 2 * START, pairs in deeper nodes are fewer still by the same factor again; so the
+    one node must have a quarter of the pairs at most.
+    """
+    sums = large.groupBy("node", "component").agg(F.count("*").alias("c"))
+    nodes = sums.groupBy("node").agg(F.max(F.struct("c", "component")).getField("component").alias("family"), F.sum("c").alias("m"))
+    rows = cut(large.select("node", "id", "component").join(nodes, "node"))
+    pairs = rows.groupBy("family").agg(F.sum("m").alias("before"))  # each row of a node has m
+    sizes = rows.select("family", "id").distinct().groupBy("family").agg(F.count("*").alias("n"))
+    known = cut(pairs.join(sizes, "family").filter(4 * F.col("n") * F.col("n") <= F.col("before")).select("family"))
+    one = cut(rows.join(known, "family").select(F.col("family").alias("node"), "id", "component").distinct())
+    rest = cut(rows.join(known, "family", "left_anti").select("node", "id", "component"))
+    return one, None if rest.isEmpty() else rest
+
+
 def candidates(reps: DataFrame, trees: range, least: float, forest: bool) -> tuple[DataFrame, DataFrame | None]:
-    """a, b: pairs of reps (id, component, tokens, short; stored) to confirm; and, but for a forest, the rows (node, id, component, m) of nodes that are large after DEPTH selections."""
-    found, shorts, rows, large = [], reps.select("id", "short"), roots(reps, trees), None
+    """a, b: pairs of reps (id, component, tokens, short; stored) to confirm; and, but for a forest, the rows (node, id, component) of nodes that are large after DEPTH selections, or that are a family of such nodes before."""
+    found, shorts, rows, crowds = [], reps.select("id", "short"), roots(reps, trees), []
     for depth in range(START, DEPTH + 1):
         rows = shared(rows)
         few = rows
@@ -235,11 +257,18 @@ def candidates(reps: DataFrame, trees: range, least: float, forest: bool) -> tup
         large = rows.filter(F.col("m") > SMALL)
         release(reps)
         if large.isEmpty():
-            large = None
             break
+        if not forest:
+            one, large = families(large)
+            crowds.append(one)
+            if large is None:
+                break
         if depth < DEPTH:
-            rows = branch(large.select("node", "id", "component").join(reps.select("id", "tokens"), "id")).select("node", "id", "component")
-    return reduce(DataFrame.unionByName, found).distinct(), None if forest else large
+            # stored: shared() reads it three times
+            rows = cut(branch(large.select("node", "id", "component").join(reps.select("id", "tokens"), "id")).select("node", "id", "component"))
+        elif not forest:
+            crowds.append(large)
+    return reduce(DataFrame.unionByName, found).distinct(), reduce(DataFrame.unionByName, crowds) if crowds else None
 
 
 def texts_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -318,12 +347,12 @@ def meet(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
 def crowded(large: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """a, b: links inside large nodes, confirmed on full sets, as many as connect what any link there connects.
 
-    large (stored): node, id, component, m. Every document meets every other of its node but
+    large (stored): node, id, component. Every document meets every other of its node but
     those of its own component: in each node the blocks of the commonest component come first
     and don't meet each other. Blocks have BLOCK documents and LOAD shingles, on average.
     """
     least = percent / 100 - FAR
-    large = large.select("node", "id", "component").join(reps.select("id", "n_shingles", "short"), "id")
+    large = cut(large.select("node", "id", "component").join(reps.select("id", "n_shingles", "short"), "id"))  # read three times
     sums = large.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("s"))
     most = sums.groupBy("node").agg(F.max(F.struct("c", "component")).alias("x"), F.sum("c").alias("m"), F.sum("s").alias("t"))
     most = most.select("node", "m", "t", F.col("x.c").alias("c"), F.col("x.component").alias("main"))

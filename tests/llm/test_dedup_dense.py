@@ -26,3 +26,14 @@ def test_links_in_a_dense_family_are_found(spark):
     want = {i: i for i in range(FAMILY)} | {b: a for a, b in planted}
     assert [p for p in planted if got[p[0]] != got[p[1]]] == []
     assert got == want
+
+
+def test_large_nodes_of_the_same_documents_are_one(spark):
+    same = [(n, i, 0 if i < 90 else i) for n in range(16) for i in range(n, n + 100)]  # 16 nodes of one group
+    apart = [(n, i, i) for n in (50, 51) for i in range(1000 * n, 1000 * n + 70)]
+    df = spark.createDataFrame(same + apart, "node long, id long, component long")
+    one, rest = dedup.families(df)
+    assert sorted((r.node, r.id, r.component) for r in one.collect()) == sorted({(0, i, c) for _, i, c in same})
+    assert sorted((r.node, r.id, r.component) for r in rest.collect()) == sorted(apart)
+    one, rest = dedup.families(df.filter("node < 50"))
+    assert one.count() == 115 and rest is None
