@@ -10,16 +10,16 @@ from __future__ import annotations
 import json
 import os
 import re
-import unicodedata
 
 import numpy as np
 import regex
 
 from .common import sole
 
-SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Characters whose classes no version of Unicode has changed; of others the library and Python may think differently.
-OLD = re.compile("[\x00-\u024f\u2010-\u2027]*")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Characters whose classes no version of Unicode has changed, and which, as their small letters, are single ones of this kind; of others the library and Python may think differently. NFC leaves texts of them alone.
+PLAIN = [c for c in map(chr, [*range(0x250), *range(0x2010, 0x2028)]) if len(c.lower()) == 1 and (c.lower() < "\u0250" or "\u2010" <= c.lower() < "\u2028")]
+OLD = re.compile(f"[{re.escape(''.join(PLAIN))}]*")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -28,6 +28,22 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _latin(t: str) -> bool:
+    try:
+        t.encode("latin-1")  # faster than any search
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _matcher(pattern: str, chars: list[str]) -> re.Pattern:
+    """pattern for texts of chars alone, with their letters, numbers and spaces by name."""
+    for k in (r"\p{L}", r"\p{N}", r"\s"):
+        kind = regex.compile(k)
+        pattern = pattern.replace(k, "".join(re.escape(c) for c in chars if kind.match(c)))
+    return re.compile(pattern)
+
+
 def encoder(path: str | None = None) -> "Encoder":
     """One for each Python worker and file."""
     path = path or vocabulary()
@@ -37,8 +53,8 @@ def encoder(path: str | None = None) -> "Encoder":
 class Encoder:
     """ids(texts): little-endian uint32 ids of each text, as bytes; null is as empty.
 
-    most: entries that a generation of each cache holds, of words and of what stands
-    between white space. Two generations are kept, so that memory is bounded.
+    most: words that a generation of the cache holds. Two generations are kept, so that
+    memory is bounded.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -55,15 +71,17 @@ class Encoder:
         self.by_word = bool(self.suffix) and kinds == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and bool(split.get("invert"))
         if self.by_word:
             pattern = split["pattern"]["Regex"]
-            self.word = regex.compile(pattern)
-            # on ASCII text the standard library's faster matcher has classes to the same effect
+            ways = pattern.split("|")
+            if (letters := r"[\p{L}]+") in ways and all(x == letters or x.startswith(("'", r"[\p{N}", r"[^\s\p{L}")) for x in ways):
+                # no other way begins with a letter, so the commonest one may be tried first
+                pattern = "|".join([letters, *(x for x in ways if x != letters)])
+            # the standard library's matcher is the faster one; it gets classes to the same effect, and the fewer characters they name the faster it is
             self.ascii_word = re.compile(pattern.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9").replace(r"\s", r"\t-\r "))
+            self.latin_word, self.plain_word = (_matcher(pattern, [c for c in PLAIN if c < end]) for end in ("\u0100", "\uffff"))
             self.added = [x["content"] for x in rules.get("added_tokens", [])]
             vocab = self.library.get_vocab(with_added_tokens=False)
             self.ends = np.zeros(max(self.library.get_vocab(with_added_tokens=True).values()) + 1, bool)
             self.ends[[i for w, i in vocab.items() if w.endswith(self.suffix)]] = True
-        self.chunks: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.most = most
@@ -82,46 +100,40 @@ class Encoder:
 
     def _lot(self, texts: list[str]) -> list[bytes]:
         parts = [self._parts(t) for t in texts]
-        seen = set().union(*(x for x in parts if x is not None))
-        missing = seen - self.chunks.keys()
-        if len(self.chunks) + len(missing) > self.most:
-            self.old_chunks, self.chunks, missing = self.chunks, {}, seen
-        split = {}
-        for x in missing:
-            ids = self.old_chunks.get(x)
-            if ids is not None:
-                self.chunks[x] = ids
-            elif x.isascii() or OLD.fullmatch(x):
-                split[x] = self._split(x)
+        known = [None if x is None else [*map(self.new.get, x)] for x in parts]
+        missing = {w for x, ids in zip(parts, known, strict=True) if ids is not None and None in ids for w, i in zip(x, ids, strict=True) if i is None}
+        if len(self.new) + len(missing) > self.most:
+            self.old, self.new = self.new, {}
+        words = []
+        for w in missing:
+            if (ids := self.old.get(w)) is not None:
+                self.new[w] = ids
+            elif w.isascii() or OLD.fullmatch(w):
+                words.append(w)
             else:
-                self.chunks[x] = self._whole(x)
-        words = {w for ws in split.values() for w in ws}
-        unknown = words - self.new.keys()
-        if len(self.new) + len(unknown) > self.most:
-            self.old, self.new, unknown = self.new, {}, words
-        for w in unknown & self.old.keys():
-            self.new[w] = self.old[w]
-        self._learn([w for w in unknown if w not in self.new])
-        for x, ws in split.items():
-            self.chunks[x] = self.new[ws[0]] if len(ws) == 1 else b"".join([self.new[w] for w in ws])
-        get = self.chunks.__getitem__
-        return [self._whole(t) if x is None else b"".join(map(get, x)) for t, x in zip(texts, parts, strict=True)]
+                self.new[w] = self._whole(w)
+        self._learn(words)
+        out = []
+        for t, x, ids in zip(texts, parts, known, strict=True):
+            if x is not None and None in ids:
+                ids = [self.new[w] if i is None else i for w, i in zip(x, ids, strict=True)]
+            out.append(self._whole(t) if x is None else b"".join(ids))
+        return out
 
     def _parts(self, t: str) -> list[str] | None:
-        """A text between white space, or None where the library must take it whole.
+        """The words of a text, or None where the library must take it whole. What stands between white space and holds another than OLD characters is one part, for the library.
 
         Python also splits at \\x1c-\\x1f, which are no white space to the library.
         """
-        if not self.by_word or any(a in t for a in self.added) or SEPARATORS.search(t):
+        if not self.by_word or any(a in t for a in self.added) or any(c in t for c in SEPARATORS):
             return None
-        return t.split()
-
-    def _split(self, x: str) -> list[str]:
-        """The library's words of what stands between white space."""
-        if x.isascii():
-            return self.ascii_word.findall(x.lower())
-        # the library lowers one character at a time; str.lower() looks at what follows a sigma
-        return self.word.findall("".join(map(str.lower, unicodedata.normalize("NFC", x))))
+        if t.isascii():
+            return self.ascii_word.findall(t.lower())
+        if _latin(t):
+            return self.latin_word.findall(t.lower())
+        if OLD.fullmatch(t):
+            return self.plain_word.findall(t.lower())
+        return [w for x in t.split() for w in (self._parts(x) if OLD.fullmatch(x) else [x])]
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -106,3 +106,17 @@ def test_token_counts(spark, make):
         assert r.truncated_total == sum(min(n, r.n_tokens) for n in lengths) and r.lost_total == sum(lengths) - r.truncated_total
         assert abs(r.quantile - len(le) / len(lengths)) < 1e-12
     assert token_counts.limits(token_counts.histogram(token_counts.lengths(table(spark, [])))).count() == 0
+
+
+def test_words_are_cached_once_whatever_stands_beside_them():
+    enc = tokens.Encoder(tokens.vocabulary())
+    texts = [f"Straße{a} {b}straße ÉTÉ{a} {b}Été word{a} {b}WORD" for a in ".,;:!?)" for b in "([«"]
+    assert enc.ids(texts) == [enc._whole(t) for t in texts]
+    assert sum(len(x) for x in vars(enc).values() if isinstance(x, dict)) == 13  # 3 words and 10 marks
+
+
+def test_texts_of_any_characters_are_as_the_library_has_them():
+    enc, r = tokens.Encoder(tokens.vocabulary(), 500), random.Random(1)
+    pool = [*map(chr, [*range(0x250), *range(0x2010, 0x2028)]), *"'s're  \t\n\x85\xa0\x1cİſßΣςσé́中😀ǅȺ" * 6]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 40))) for _ in range(500)]
+    assert enc.ids(texts) == [enc._whole(t) for t in texts]
