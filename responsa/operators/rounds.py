@@ -56,7 +56,8 @@ def acquire(df: DataFrame, key: str, f: Callable[..., object], seed: int = 0) ->
 def run_round(df: DataFrame, predictor: Callable[..., object], acquisition: Callable[..., object], n_variants: int, k: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows with p and labelled, one row of scores). df: row_id, item_variant_id, data_category, label and the inputs."""
     chosen = splits.stratified(df, "item_variant_id", "data_category", n_variants, seed).select("item_variant_id")
-    rows = df.join(chosen, "item_variant_id", "left_semi")
+    # few rows of the log, and what follows reads them again and again: kept, so that the log is not
+    rows = df.join(chosen, "item_variant_id", "left_semi").persist()
     scored = rows.join(acquire(rows, "row_id", acquisition, seed), "row_id")
     top = splits.top_k(scored, "data_category", F.col("score"), order_hash(F.col("row_id"), seed), k).select("row_id").withColumn("labelled", F.lit(True))
     told = [r.asDict() for r in inputs(rows.join(top, "row_id", "left_semi"), "label").collect()]  # k rows of each of few categories
