@@ -82,6 +82,12 @@ def sole(key: object, make: Callable[[], object]):
     return KEPT[key]
 
 
+def done() -> None:
+    """tidy() without the worker's cache: at the end of a task whose cache is soon made again. An idle worker of an earlier stage otherwise holds it beside a later stage's memory."""
+    KEPT.clear()
+    tidy()
+
+
 def tidy() -> None:
     """Gives memory that is free in this process back to the system."""
     gc.collect()

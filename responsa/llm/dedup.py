@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, fresh, mix, release, small, sole, table, tidy
+from .common import Memo, cut, done, fresh, mix, release, small, sole, table, tidy
 from .components import components
 
 #: Coordinates of a sketch (8 bits each); of these, tokens that trees select from (24 bits each).
@@ -130,7 +130,7 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
             cols = zip(*rows, strict=True) if rows else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in PRINTS.split(", ")])
-        tidy()
+        done()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(run, PRINTS)
@@ -312,7 +312,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent:
                     asked.append((i.as_py(), w.as_py()))
         if asked:
             yield settle(sets, asked)
-        tidy()
+        done()
 
     return rows.select("g", "id", "w", "text").repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
 

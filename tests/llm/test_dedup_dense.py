@@ -1,6 +1,6 @@
 """Links inside a family of documents that are nearly, but not quite, similar enough to each other."""
 
-from responsa.llm import dedup
+from responsa.llm import common, dedup
 
 FAMILY, PAIRS = 1000, 100
 
@@ -37,3 +37,12 @@ def test_large_nodes_of_the_same_documents_are_one(spark):
     assert sorted((r.node, r.id, r.component) for r in rest.collect()) == sorted(apart)
     one, rest = dedup.families(df.filter("node < 50"))
     assert one.count() == 115 and rest is None
+
+
+def test_a_worker_keeps_no_cache_of_words(spark):
+    """pipeline: idle workers held their cache beside the next stage."""
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d f")], "doc_id long, text string")
+    assert dedup.fingerprints(docs, 4).filter("n_shingles = 2").count() == 2
+    common.sole("shingles", dict)
+    common.done()
+    assert not common.KEPT
