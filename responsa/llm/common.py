@@ -19,8 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of stored, compressed rows that one task reads, where there are enough of them for all cores.
+PART = 2_000_000
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and stored in the shared checkpoint folder; its lineage ends there.
+    """df computed once and stored in the shared checkpoint folder; its lineage ends there. It is read in as many partitions as its bytes ask for, not in as many as wrote it.
 
     The folder is the session's spark.checkpoint.dir. Only where that is unset and all runs in
     one process (a local master, as in tests), a fresh temporary folder takes its place.
@@ -31,7 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="responsa-"))
-    return df.checkpoint()
+    return gathered(df.checkpoint())
+
+
+def gathered(stored: DataFrame) -> DataFrame:
+    """stored, a checkpoint, in partitions of PART bytes, but as many as there are cores; a small table that a shuffle has dealt out otherwise costs a task, and a row of its log, for each partition whenever it is read."""
+    rdd = stored._jdf.logicalPlan().rdd()
+    path = stored.sparkSession._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+    size = path.getFileSystem(stored.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    n = max(stored.sparkSession.sparkContext.defaultParallelism, -(-size // PART))
+    return stored.coalesce(n) if n < rdd.getNumPartitions() else stored
 
 
 def ascii_lower(c: Column) -> Column:
