@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from responsa.llm import decontaminate, dedup, language, packing, sanitize
-from responsa.llm.common import cut, table
+from responsa.llm.common import cut, relieve, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five words a shingle, similarity 0.8. The smallest doc_id stays, null ones last, and of equal rows one; rows without words are in no group and stay."""
+    relieve(spark)
     return dedup.keep_one(docs, k=5, percent=80)
 
 
@@ -37,6 +38,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, placed in sequences of at most 4096 tokens. A null or empty text is one piece with the end id alone; equal pieces go by doc_id."""
+    relieve(spark)
     return packing.pack(docs)
 
 

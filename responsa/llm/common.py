@@ -115,6 +115,14 @@ def tidy() -> None:
 FEW = 16_000_000
 
 
+def relieve(spark: SparkSession) -> None:
+    """Executors and the driver collect their garbage, as many tasks as there are cores, so that free heap goes back to the system before a stage whose Python workers need memory of their own."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')").alias("x")).collect()  # a row for each core
+    tidy()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame) -> DataFrame:
     """df (stored), marked for broadcast if all its rows and columns together are few bytes."""
     n = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
@@ -131,5 +139,5 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def release(df: DataFrame) -> None:
     """Lets Spark delete shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
+    tidy()
     df.sparkSession.sparkContext._jvm.System.gc()

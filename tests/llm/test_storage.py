@@ -13,3 +13,12 @@ def test_stored_rows_are_read_in_partitions_by_size(spark):
     assert many.distinct().count() == 400_000
     one = common.cut(spark.range(0, 10, 1, 1))
     assert one.rdd.getNumPartitions() == 1 and one.count() == 10
+
+
+def test_executors_give_memory_back(spark):
+    """pipeline: relieve() collects garbage in the JVMs that run tasks."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    count = lambda: sum(b.getCollectionCount() for b in beans)
+    before = count()
+    common.relieve(spark)
+    assert count() >= before + 2  # one by tasks, one by the driver, here in one JVM
